@@ -30,8 +30,9 @@ def heavy_keys(df: DataFrame, scope: str, key: str, share: float) -> DataFrame:
     """
     counts = aggregate_keys(df, [scope, key], {"n_rows": F.count(F.lit(1))})
     totals = counts.groupBy(scope).agg(F.sum("n_rows").alias("scope_rows"))
-    heavy = counts.where(F.col(key).isNotNull() & (F.col(key) != "")).join(totals, scope)
-    return heavy.where(F.col("n_rows") >= F.lit(share) * F.col("scope_rows"))
+    # the test on the key is part of a condition over both sides, so it isn't pushed below the shuffle that both sides read
+    n = F.when(F.col(key).isNotNull() & (F.col(key) != ""), F.col("n_rows")).otherwise(-1)
+    return counts.join(totals, scope).where(n >= F.lit(share) * F.col("scope_rows"))
 
 
 def index_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
