@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamroute.functions.msgid import canonical_id, canonical_sql
-from streamroute.operators import dedup, incremental, skew
+from streamroute.operators import dedup, drift, incremental, nested, skew
 from streamroute.session import table
 
 
@@ -15,6 +15,34 @@ def _arrival() -> list:
     return [F.col(c).asc_nulls_last() for c in ("attempt", "delivered_at", "delivery_id")]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.node_links(nested.triples(table(spark, d, "raw_requests"), nodes_only=True))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nested.groups(nested.triples(table(spark, d, "raw_requests")))
+
+
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    return nested.pivot_group(nested.triples(table(spark, d, "raw_requests")), "data.items[]", ["sku", "qty", "quantity"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(drift.file_statistics(table(spark, d, "raw_requests")))
+
+
+def p2_casts(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "raw_requests")
+    return drift.cast_report(drift.consistent_values(requests, drift.changes(drift.file_statistics(requests))))
+
+
+def p2_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of one topic over all gateways and files."""
+    requests = table(spark, d, "raw_requests")
+    values = drift.consistent_values(requests, drift.changes(drift.file_statistics(requests)))
+    return drift.consistent_table(values, "order.created", {"order_id": "string", "customer": "string", "total": "number", "express": "boolean", "items[].sku": "string"})
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "deliveries").select("delivery_id", "attempt", "delivered_at", "consumer_id", canonical_id("msg_id").alias("mid"))
     rows = rows.where("mid is not null and consumer_id is not null")
@@ -75,7 +103,7 @@ def p5_topic_stats(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ids.withColumnRenamed("topic", "t"), F.col("topic").eqNullSafe(F.col("t"))).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_kept, p3_new_batches, p4_found, p4_segment_fingerprints, p5_found, p5_topic_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_segment_fingerprints, p5_found, p5_topic_stats)}
 
 _MID = canonical_sql("msg_id")
 SQL = {
