@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamroute.functions.msgid import canonical_id, canonical_sql
-from streamroute.llm import bpe, mixing, seen_keys
+from streamroute.llm import bpe, mixing, seen_keys, spam
 from streamroute.session import table
 
 #: Target rate of false positives of the filters.
@@ -42,7 +42,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(mixing.sample_mixes(sizes, plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rate, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spam.flagged(spam.label_pages(docs, spam.fit_on(docs))).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of every page by the labels of its lines."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spam.label_pages(docs, spam.fit_on(docs))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_rate, p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
 
 _MID = canonical_sql("msg_id")
 SQL = {
