@@ -35,7 +35,7 @@ MOST = 0.5
 #: Rounds of Viterbi training after the rules' labels.
 ROUNDS = 1
 #: Characters labelled at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def observe(f: np.ndarray) -> np.ndarray:
@@ -200,8 +200,12 @@ def shares(texts: list[str], model: LineModel) -> np.ndarray:
 def fit_on(docs: DataFrame, text: str = "text", key: str = "doc_id", pages: int = SAMPLE_PAGES, seed: int = 9) -> LineModel:
     """A model fitted on at most `pages` pages, those with the smallest seeded hash of their key; fitted in one task,
     only the tables come back."""
-    sample = docs.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(key, text, F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
-    sample = sample.orderBy("__h", key).limit(pages)
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    # the hash bound lets about twice as many pages through as are taken, however large the corpus is, so that the
+    # tasks don't each send `pages` texts to the one that sorts them
+    part = min(1.0, 2.0 * pages / max(1, docs.count()))
+    sample = docs.select(key, text, h.alias("__h")).where(F.col("__h") <= F.lit(int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1))
+    sample = sample.where(F.col(text).isNotNull() & (F.trim(text) != "")).orderBy("__h", key).limit(pages)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [fit(pdf.sort_values(["__h", key])[text].tolist()).dumps()]})
