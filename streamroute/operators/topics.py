@@ -74,8 +74,9 @@ def _keys(topic: Column, shapes: list[tuple[bool, int, str]]) -> Column:
 
 def match_topics(topics: DataFrame, patterns: DataFrame, topic: str = "topic", pattern: str = "pattern") -> DataFrame:
     """Each distinct topic of `topics` with every row of `patterns` whose pattern it matches (bag semantics: one row a
-    pattern row). Null topics and null patterns match nothing. The few shapes come to the driver, nothing else does."""
-    p = shaped(patterns, pattern)
+    pattern row). Null topics and null patterns match nothing. A column of the pattern table named like the topic
+    column comes out as `<name>_of_pattern`. The few shapes come to the driver, nothing else does."""
+    p = shaped(patterns.withColumnRenamed(topic, f"{topic}_of_pattern") if topic != pattern else patterns, pattern)
     shapes = [tuple(r) for r in p.select("__tail", "__n", "__mask").distinct().limit(MAX_SHAPES + 1).collect()]
     if len(shapes) > MAX_SHAPES:
         raise ValueError(f"more than {MAX_SHAPES} pattern shapes")
@@ -89,7 +90,10 @@ def match_topics(topics: DataFrame, patterns: DataFrame, topic: str = "topic", p
 
 def route(events: DataFrame, subscriptions: DataFrame, topic: str = "topic", pattern: str = "pattern") -> DataFrame:
     """Events with every matching subscription: one copy a subscription. Events stream by the (topic, subscription)
-    map, which is broadcast when it was counted as small and joined with salted hot topics when it isn't."""
+    map, which is broadcast when it was counted as small and joined with salted hot topics when it isn't. Columns of
+    the subscriptions that the events have as well come out as `<name>_of_pattern`."""
+    for c in set(subscriptions.columns) & set(events.columns) - {topic, pattern}:
+        subscriptions = subscriptions.withColumnRenamed(c, f"{c}_of_pattern")
     found = match_topics(events, subscriptions, topic, pattern)
     return join_small(events, found, [topic])
 
