@@ -32,7 +32,8 @@ def water_fill(share: np.ndarray, cap: np.ndarray, total: float) -> np.ndarray:
     open_ = (share > 0) & (cap > 0)
     left = float(total)
     while open_.any() and left > 0:
-        want = left * share / share[open_].sum()
+        want = np.zeros(len(share))
+        want[open_] = left * (share[open_] / share[open_].sum())
         full = open_ & (want >= cap)
         if not full.any():
             amount[open_] = want[open_]
