@@ -127,7 +127,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     spaced = past(space) & then(space)
     token_begin = ~space & past(space)
     token = np.cumsum(token_begin)
-    link = slash & then(slash) & then(letter, 2)
+    # `//` inside a run of letters or digits (encoded data) begins no address
+    link = slash & then(slash) & then(letter, 2) & past(~(letter | digit | slash | (k == CODE)))
     linked = np.zeros(int(token[-1]) + 1 if n else 1, bool)
     linked[token[link]] = True
     linked[0] = False
@@ -159,8 +160,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     last_word = np.concatenate([first_word[1:], [len(begin)]])
     with np.errstate(over="ignore"):
         bag = (upto[last_word] - upto[first_word]) + doc_at[seg_start].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    _, inverse, count = np.unique(bag, return_inverse=True, return_counts=True)
-    alike = np.where(offset[seg_start] == 0, count[inverse], 1)
+    head = offset[seg_start] == 0
+    _, inverse, count = np.unique(bag[head], return_inverse=True, return_counts=True)
+    alike = np.ones(m)
+    alike[head] = count[inverse]
     chars = add(~space)
     cols = [
         chars, words, add(letter), add(digit), add(((k == COMMA) & (then(space) | then(k == QUOTE) | then(letter))) | (slash & spaced)), add((k == PIPE) & spaced),

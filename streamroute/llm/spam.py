@@ -1,7 +1,8 @@
 """Keyword-stuffed and link-list pages.
 
 A hidden Markov model labels every line of a page: prose, code, data (logs, tables, images, references) or one of the
-listing states links, tags and menu (keyword lists, product entries, stuffed phrases). A page is flagged when more
+listing states links, tags, menu (keyword lists, product entries, repeated phrases) and stuffed (sentences made of
+the same keywords over and over). A page is flagged when more
 than a set share of its characters lies in listing lines.
 
 The observations are structural (separators, links, hash tags, digits, how often the words occur in the page), so the
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from streamroute.llm.line_features import FEATURES, line_features
 
-STATES = ["prose", "code", "data", "links", "tags", "menu"]
-PROSE, CODE, DATA, LINKS, TAGS, MENU = range(6)
-LISTING = [LINKS, TAGS, MENU]
+STATES = ["prose", "code", "data", "links", "tags", "menu", "stuffed"]
+PROSE, CODE, DATA, LINKS, TAGS, MENU, STUFFED = range(7)
+LISTING = [LINKS, TAGS, MENU, STUFFED]
 
 #: Pages of the sample the model is fitted on (a fixed bound, whatever the corpus' size).
 SAMPLE_PAGES = 3000
@@ -34,6 +35,8 @@ SAMPLE_PAGES = 3000
 MOST = 0.5
 #: Rounds of Viterbi training after the rules' labels.
 ROUNDS = 1
+#: Labelled lines from which a state counts as known, and what entering one that doesn't costs.
+LEAST_LINES, CLOSED = 25, -30.0
 #: Characters labelled at once.
 BLOCK = 1_000_000
 
@@ -50,18 +53,19 @@ def observe(f: np.ndarray) -> np.ndarray:
     listed = cut((x["seps"] + x["bars"]) / words, [0.02, 0.1, 0.2, 0.4])
     length = cut(x["words"], [1, 4, 9, 16])
     stops = np.minimum(2, x["stops"]).astype(int)
-    worn = 7 * cut(x["repeat"], [0.8, 1.5, 2.2, 3.0, 4.0]) + cut(x["often"], [0.006, 0.012, 0.02, 0.035, 0.06, 0.1])
+    worn = 9 * cut(x["repeat"], [0.8, 1.5, 2.2, 2.7, 3.2, 4.0]) + cut(x["often"], [0.006, 0.012, 0.017, 0.022, 0.03, 0.05, 0.1, 0.2])
     digits = cut(x["digits"] / chars, [0.01, 0.05, 0.12, 0.25, 0.4])
-    code = cut((x["code"] + x["brackets"] + x["quotes"]) / chars, [0.005, 0.03, 0.08, 0.16])
+    code = cut((x["code"] + x["brackets"]) / chars, [0.005, 0.03, 0.06, 0.1, 0.16])
+    quotes = cut(x["quotes"] / chars, [0.005, 0.03, 0.06])
     letters = cut(x["letters"] / chars, [0.3, 0.55, 0.75, 0.88])
     alike = cut(x["alike"], [2, 4, 8])
     run = cut(chars / np.maximum(1, x["tokens"]), [4.5, 7, 20])
     bars = np.minimum(2, x["bars"]).astype(int)
     marks = np.minimum(2, x["marks"]).astype(int)
-    return np.column_stack([link, tags, 15 * listed + 3 * length + stops, worn, digits, code, letters, alike, run, bars, marks]).astype(np.int64)
+    return np.column_stack([link, tags, 15 * listed + 3 * length + stops, worn, digits, code, quotes, letters, alike, run, bars, marks]).astype(np.int64)
 
 
-SIZES = [13, 3, 75, 42, 6, 5, 5, 4, 4, 3, 3]
+SIZES = [13, 3, 75, 63, 6, 6, 4, 5, 4, 4, 3, 3]
 
 
 def unmistakable(f: np.ndarray) -> np.ndarray:
@@ -86,10 +90,11 @@ def unmistakable(f: np.ndarray) -> np.ndarray:
         (LINKS, ~none & (x["out_words"] <= 7 * links) & (x["out_words"] >= 1) & (x["stops"] <= links) & (x["marks"] + x["quotes"] >= links)),
         (MENU, none & (x["bars"] >= 2) & (words >= 4) & once & (letters > 0.35) & worn),
         (MENU, none & (items >= 4) & (x["words"] >= 8) & (words / items <= 7) & worn & (letters > 0.55) & plainly & (x["stops"] == 0) & once & (digits < 0.2)),
-        (MENU, none & (x["often"] >= 0.06) & (x["repeat"] >= 3.5) & (letters > 0.75) & (x["words"] >= 12) & plainly & (x["quotes"] <= 2) & once),
+        (STUFFED, none & (x["often"] >= 0.022) & (x["repeat"] >= 2.7) & (letters > 0.8) & (x["words"] >= 9) & (x["stops"] >= 1) & plainly & (x["quotes"] <= 2) & once),
+        (MENU, none & (x["often"] >= 0.06) & (x["repeat"] >= 3.5) & (letters > 0.6) & (x["words"] >= 12) & plainly & (x["quotes"] <= 2) & once),
         (MENU, none & (x["words"] >= 16) & (x["stops"] + x["seps"] == 0) & (x["repeat"] >= 1.5) & (x["often"] >= 0.012) & (letters > 0.9) & plainly & (x["quotes"] <= 2) & once),
         (CODE, none & (signs >= 0.14) & (digits < 0.3) & (items < 4) & (x["bars"] == 0)),
-        (PROSE, none & (letters >= 0.75) & (x["stops"] >= 1) & (x["often"] < 0.03) & (x["words"] >= 4) & (signs < 0.06)),
+        (PROSE, none & (letters >= 0.72) & (x["stops"] >= 1) & (x["often"] < 0.019) & (x["words"] >= 4) & (signs < 0.12)),
         (PROSE, none & (letters >= 0.6) & (x["words"] >= 2) & (x["words"] <= 9) & (x["seps"] + x["bars"] == 0) & (x["often"] < 0.02) & (signs < 0.06)),
     ]
     out = np.full(len(f), -1)
@@ -114,7 +119,8 @@ class LineModel:
 
     @staticmethod
     def count(doc: np.ndarray, obs: np.ndarray, label: np.ndarray) -> LineModel:
-        """Tables from labelled lines; unlabelled ones (-1) are passed over. Laplace-smoothed."""
+        """Tables from labelled lines; unlabelled ones (-1) are passed over. Laplace-smoothed. A state with fewer than
+        LEAST_LINES examples is all but closed: its flat emissions would take in whatever is odd."""
         k = len(STATES)
         known = label >= 0
         emit = []
@@ -125,7 +131,8 @@ class LineModel:
         move = np.bincount(label[:-1][pair] * k + label[1:][pair], minlength=k * k).reshape(k, k) + 2.0
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) & known
         start = np.bincount(label[first], minlength=k) + 2.0
-        return LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), emit)
+        cost = np.where(np.bincount(label[known], minlength=k) < LEAST_LINES, CLOSED, 0.0)
+        return LineModel(np.log(start / start.sum()) + cost, np.log(move / move.sum(1, keepdims=True)) + cost, emit)
 
     def viterbi(self, doc: np.ndarray, obs: np.ndarray) -> np.ndarray:
         """Most likely labels; all pages of a block advance together, a line a step."""

@@ -6,7 +6,9 @@ import pytest
 from streamroute.llm import line_features as lf
 from streamroute.llm import spam
 
-WORDS = "the river station measured a slow change of level during winter while sensors near bridge recorded small noise and we compare both series with care before drawing any plot or table from data that came late".split()
+_R = random.Random(0)
+#: A vocabulary of the size a page of prose draws from.
+WORDS = ["".join(_R.choice(["ba", "lo", "mi", "ste", "ran", "ou", "ke", "vir", "an", "tol"]) for _ in range(_R.randrange(1, 5))) for _ in range(500)]
 TOPICS, EXTRA = ["garden hose", "phone case", "yoga mat"], ["buy", "cheap", "best", "price", "online", "reviews", "coupon"]
 
 
@@ -63,7 +65,12 @@ def stuffed(r):
     return "garden hose " * 200
 
 
-HONEST, SPAM = [prose, code, log, table, references], [keywords, links, urls, tags, products, stuffed]
+def stuffed_sentences(r):
+    forms = ["Buy {} here, {} and {}. ", "Looking for {}? Our {} is the {} you want. ", "Order {} now: {}, {}. "]
+    return "".join(r.choice(forms).format(phrase(r), phrase(r), phrase(r)) for _ in range(25))
+
+
+HONEST, SPAM = [prose, code, log, table, references], [keywords, links, urls, tags, products, stuffed, stuffed_sentences]
 
 
 def pages(n, seed):
@@ -136,6 +143,6 @@ def test_pages_in_spark_with_nulls_blanks_and_long_texts(spark):
     assert len(got) == len(rows)
     assert [got[i]["listing"] for i in (900, 901, 902)] == [0.0, 0.0, 0.0] and got[903]["listing"] > 0.9 and got[904]["listing"] < 0.1
     assert spam.label_pages(df.limit(0), m).count() == 0
-    assert spam.fit_on(df.limit(0)).move.shape == (6, 6)
+    assert spam.fit_on(df.limit(0)).move.shape == (len(spam.STATES),) * 2
     again = spam.fit_on(df.repartition(5), pages=60)
     assert again.dumps() == m.dumps()
