@@ -22,12 +22,13 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     """
     tmp = [f"__k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(tmp, keys)))
-    whole = F.lit(True)
+    null = F.lit(False)
     for t in tmp:
-        whole = whole & F.col(t).isNotNull()
-    w = Window.partitionBy(*tmp).orderBy(*order)
-    first = keyed.where(whole).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", *tmp)
-    return first.unionByName(keyed.where(~whole).drop(*tmp))
+        null = null | F.col(t).isNull()
+    # a row without a key is a group of its own, so that one pass and one shuffle serve both kinds
+    keyed = keyed.withColumn("__own", F.when(null, F.monotonically_increasing_id()))
+    w = Window.partitionBy(*tmp, "__own").orderBy(*order)
+    return keyed.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__own", *tmp)
 
 
 def mark_copies(df: DataFrame, keys: list[Column], order: list[Column], flag: str = "is_copy", salts: int | None = None) -> DataFrame:
