@@ -18,6 +18,8 @@ from itertools import islice, repeat
 
 import numpy as np
 
+from streamroute.session import spread
+
 #: Names of files in the tokenizer folder; the path itself is a parameter.
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -280,7 +282,7 @@ def encode_corpus(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), p
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    slim = df.select(*keep, text)
+    slim = spread(df.select(*keep, text))
     schema = T.StructType([*[slim.schema[k] for k in keep], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +302,7 @@ def count_tokens(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pa
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    slim = df.select(*keep, text)
+    slim = spread(df.select(*keep, text))
     schema = T.StructType([*[slim.schema[k] for k in keep], T.StructField(name, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamroute.llm.line_features import FEATURES, line_features
+from streamroute.session import spread
 
 STATES = ["prose", "code", "data", "links", "tags", "menu", "stuffed"]
 PROSE, CODE, DATA, LINKS, TAGS, MENU, STUFFED = range(7)
@@ -225,7 +226,7 @@ def label_pages(docs: DataFrame, model: LineModel, text: str = "text", key: str
     """key, characters per state and the listing share of every page (0 for null and blank texts)."""
     from pyspark.sql import types as T
 
-    slim = docs.select(key, text)
+    slim = spread(docs.select(key, text))
     schema = T.StructType([slim.schema[key], *[T.StructField(f"n_{s}", T.LongType(), False) for s in STATES], T.StructField("listing", T.DoubleType(), False)])
     tables = model.dumps()
 
