@@ -71,3 +71,25 @@ def caught_up(marks: DataFrame, most_lag_ms: int) -> DataFrame:
 def namespaces(events: DataFrame, ns: str = "ns", service: str = "service_id", topic: str = "topic", at: str = "arrived_at") -> DataFrame:
     """Registry: services, topics and first time per namespace."""
     return events.where(F.col(ns).isNotNull()).groupBy(ns).agg(F.count_distinct(service).alias("n_services"), F.count_distinct(topic).alias("n_topics"), F.min(at).alias("created_at"))
+
+
+def topic_metadata(events: DataFrame, subscriptions: DataFrame, topic: str = "topic", at: str = "arrived_at", publisher: str = "service_id") -> DataFrame:
+    """topic_stats plus the number of subscriptions (sub_id) whose pattern matches the topic."""
+    from streamroute.operators.topics import match_topics
+
+    found = match_topics(events, subscriptions, topic).groupBy(topic).agg(F.count_distinct("sub_id").alias("n_subscribers"))
+    return topic_stats(events.where(F.col(topic).isNotNull()), topic, at, publisher).join(found, topic, "left").fillna(0, ["n_subscribers"])
+
+
+def membership(reports: DataFrame, now: Column, suspect_s: float = 5, dead_s: float = 30) -> DataFrame:
+    """State per member from its reports (member, incarnation, state, at): the highest incarnation's latest report
+    counts; 'alive' turns into 'suspect' and 'dead' when it is older than the limits."""
+    last = reports.where("member is not null").groupBy("member").agg(F.max_by(F.struct("state", "at"), F.struct("incarnation", "at")).alias("r"))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("r.at").cast("timestamp"))
+    state = F.when(F.col("r.state") == "dead", "dead").when(age > F.lit(int(dead_s * 1e6)), "dead").when((F.col("r.state") == "suspect") | (age > F.lit(int(suspect_s * 1e6))), "suspect").otherwise("alive")
+    return last.select("member", state.alias("state"))
+
+
+def spread_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows, mean and standard deviation per key (the shape of alert rules)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"))

@@ -104,6 +104,21 @@ def unrouted(events: DataFrame, subscriptions: DataFrame, topic: str = "topic",
     return join_small(events, found, [topic], "left_anti")
 
 
+def most_specific(matched: DataFrame, by: list[str], pattern: str = "pattern") -> DataFrame:
+    """Of several matches per `by` the most specific one: exact before one star before more, before a tail; then the
+    longer pattern, then the pattern itself. An option of ours; routing keeps all matches."""
+    tail = F.contains(F.col(pattern), F.lit(">"))
+    stars = F.length(pattern) - F.length(F.replace(F.col(pattern), F.lit("*"), F.lit("")))
+    rank = F.struct(tail.cast("int"), stars, -F.length(pattern), F.col(pattern))
+    cols = [c for c in matched.columns if c not in by]
+    return matched.groupBy(*by).agg(F.min_by(F.struct(*cols), rank).alias("__m")).select(*by, *[F.col(f"__m.{c}").alias(c) for c in cols])
+
+
+def without(subscriptions: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """Subscriptions that weren't removed (by pattern and sub_id, say)."""
+    return join_small(subscriptions, removed.select(*keys).distinct(), keys, "left_anti")
+
+
 def permitted(requests: DataFrame, acl: DataFrame, by: list[str], topic: str = "topic", pattern: str = "pattern", denied: bool = False) -> DataFrame:
     """Requests whose topic matches any pattern granted to their `by` columns (denied: those that don't)."""
     found = match_topics(requests, acl, topic, pattern).select(topic, *by).distinct()

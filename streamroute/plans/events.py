@@ -445,6 +445,28 @@ def message_running_number(spark: SparkSession, d: str) -> DataFrame:
     return numbering.number_rows(table(spark, d, "pub_messages").select("ingest_seq", "topic"), ["topic"], "ingest_seq", "rn", 4096)
 
 
+def topic_metadata(spark: SparkSession, d: str) -> DataFrame:
+    subs = table(spark, d, "subscriptions").select("sub_id", F.col("topic_pattern").alias("pattern"))
+    return stats.topic_metadata(table(spark, d, "pub_messages"), subs)
+
+
+def most_specific_match(spark: SparkSession, d: str) -> DataFrame:
+    """One subscription per event topic: the most specific pattern."""
+    got = topics.match_topics(_both(spark, d), _patterns(spark))
+    return topics.most_specific(got, ["topic"]).select("topic", "pattern", "sub_id")
+
+
+def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
+    """Followers as members, their marks as reports, a second after the last one of all."""
+    r = table(spark, d, "replica_marks").where("confirmed_at is not null").select(F.col("follower_id").alias("member"), F.lit(0).alias("incarnation"), F.lit("alive").alias("state"), F.col("confirmed_at").alias("at"))
+    now = r.select(F.max("at") + F.expr("interval 1 second")).scalar()
+    return stats.membership(r, now, 3600, 86_400)
+
+
+def value_spread(spark: SparkSession, d: str) -> DataFrame:
+    return stats.spread_by(envelope(spark, d).select("event_type", F.round("value").alias("v")), ["event_type"], "v").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -454,6 +476,7 @@ QUERIES = {
         group_partition_key, ack_pending, inflight_timeouts, backoff_schedule, dlq_decision, dlq_topics, dlq_replay, message_states, segment_compaction_stats, replay_summary,
         recovery_pending, wal_shard_counts, ring_owner, ring_replicas, replication_caught_up, namespace_registry, admission_ema, token_bucket, topic_stats, lifecycle_counters,
         latency_percentiles_by_topic, dlq_rate_5m, ring_buffer_last_n, request_reply_join, position_replay, batch_atomicity, gateway_publishes, consumers_once, message_running_number,
+        topic_metadata, most_specific_match, cluster_membership, value_spread,
     )
 }
 
@@ -592,4 +615,13 @@ SQL = {
     "batch_atomicity": "select batch_no, count(*) as n, bool_and(msg_id is not null and coalesce(topic <> '', false)) as whole from pub_messages group by 1",
     "consumers_once": f"with {_EV}, {_subs()} select consumer_id, count(distinct msg_id) as n from ev join subs on regexp_full_match(topic, rx) group by 1",
     "message_running_number": "select ingest_seq, topic, row_number() over (partition by topic order by ingest_seq) as rn from pub_messages",
+    "topic_metadata": f"""with {_PUB_SUB} select topic, count(*) as n_messages, count(distinct service_id) as n_publishers, max(arrived_at) as last_at,
+        (select count(distinct sub_id) from s where regexp_full_match(m.topic, s.rx)) as n_subscribers from pub_messages m where topic is not null group by topic""",
+    "most_specific_match": f"""with {_EV}, {_OR}, {_subs()}, t as (select topic from ev union select topic from ord),
+        r as (select topic, pattern, sub_id, row_number() over (partition by topic order by contains(pattern, '>'), len(pattern) - len(replace(pattern, '*', '')), len(pattern) desc, pattern) rn from t join subs on regexp_full_match(topic, rx))
+        select topic, pattern, sub_id from r where rn = 1""",
+    "cluster_membership": """with l as (select follower_id as member, max(confirmed_at) as seen_at from replica_marks where confirmed_at is not null and follower_id is not null group by 1),
+        n as (select max(confirmed_at) + interval 1 second as t from replica_marks)
+        select member, case when epoch_us(t) - epoch_us(seen_at) > 86400 * 1000000 then 'dead' when epoch_us(t) - epoch_us(seen_at) > 3600 * 1000000 then 'suspect' else 'alive' end as state from l, n""",
+    "value_spread": f"with {_EV} select event_type, count(*) as n, round(avg(round(value)), 6) as mean, round(stddev_samp(round(value)), 6) as stddev from ev group by 1",
 }

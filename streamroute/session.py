@@ -71,3 +71,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df itself where its scan has enough partitions for all cores; else redistributed, for maps that cost far more
+    than a shuffle of their input. Tables of many files or splits are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

@@ -192,3 +192,32 @@ def test_gateway_bodies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "request_id bigint, body string")
     got = sorted((r["request_id"], -1 if r["event_no"] is None else r["event_no"], r["status"]) for r in gateway.publishes(df).collect())
     assert got == [(0, 0, "stored"), (1, 0, "stored"), (1, 1, "error 4000"), (2, -1, "error 4000"), (3, -1, "error 4000"), (4, -1, "error 4000")]
+
+
+def test_control_files(spark):
+    from streamroute.sources import config
+
+    text = """
+routes:
+  - name: big
+    match: {topic: "order.*", where: "payload.v > 1"}
+    transform: [{set: "payload.x = 'y'"}, {rename: "a -> b"}]
+    deliver: [{service: s, where: "v > 2"}, {group: g}]
+  - {name: paused, enabled: false, match: {topic: ">"}, deliver: []}
+"""
+    got = config.rules(text)
+    assert [(r.name, r.pattern, r.where, r.enabled, len(r.transforms)) for r in got] == [("big", "order.*", "payload.v > 1", True, 2), ("paused", ">", None, False, 0)]
+    assert [(t.service, t.group, t.where) for t in got[0].deliver] == [("s", None, "v > 2"), ("g", "g", None)]
+    acl = config.grants(spark, "namespaces: [{name: n, services: [{name: s, publish: ['a.*'], subscribe: ['>']}]}]")
+    assert {tuple(r) for r in acl.collect()} == {("n", "s", "publish", "a.*"), ("n", "s", "subscribe", ">")}
+    s = config.settings("delivery: {ack_timeout_secs: 7, backoff: {initial_secs: 3}}")
+    assert s.ack_timeout_secs == 7 and s.backoff_initial_secs == 3 and s.max_redeliveries == 5
+    assert config.settings("") == config.Settings()
+
+
+def test_membership(spark):
+    t = dt.datetime(2024, 1, 1)
+    s = lambda n: t + dt.timedelta(seconds=n)
+    rows = [("a", 1, "alive", s(58)), ("b", 1, "alive", s(40)), ("c", 1, "alive", s(0)), ("d", 2, "dead", s(10)), ("d", 1, "alive", s(59)), ("e", 1, "suspect", s(59)), (None, 1, "alive", s(1))]
+    got = stats.membership(spark.createDataFrame(rows, "member string, incarnation int, state string, at timestamp_ntz"), F.lit("2024-01-01 00:01:00").cast("timestamp_ntz"))
+    assert {tuple(r) for r in got.collect()} == {("a", "alive"), ("b", "suspect"), ("c", "dead"), ("d", "dead"), ("e", "suspect")}
