@@ -622,6 +622,6 @@ SQL = {
         select topic, pattern, sub_id from r where rn = 1""",
     "cluster_membership": """with l as (select follower_id as member, max(confirmed_at) as seen_at from replica_marks where confirmed_at is not null and follower_id is not null group by 1),
         n as (select max(confirmed_at) + interval 1 second as t from replica_marks)
-        select member, case when epoch_us(t) - epoch_us(seen_at) > 86400 * 1000000 then 'dead' when epoch_us(t) - epoch_us(seen_at) > 3600 * 1000000 then 'suspect' else 'alive' end as state from l, n""",
+        select member, case when epoch_us(t) - epoch_us(seen_at) > 86400000000 then 'dead' when epoch_us(t) - epoch_us(seen_at) > 3600000000 then 'suspect' else 'alive' end as state from l, n""",
     "value_spread": f"with {_EV} select event_type, count(*) as n, round(avg(round(value)), 6) as mean, round(stddev_samp(round(value)), 6) as stddev from ev group by 1",
 }
