@@ -11,6 +11,9 @@ spread by their number.
 Wrong answers are measured, not assumed: beside every query the filter is asked for a key that is absent by
 construction (no 16-byte key can equal it), and for the keys just inserted.
 
+What a batch answers depends on which rows it holds, so rows should come from a table or another source that gives them
+in the same order when a task is run again.
+
 Defined results: a null key was never seen and is never stored. Rows with the same key and the same number (repeated
 rows): one counts as the first, the others as seen.
 """
