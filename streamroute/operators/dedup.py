@@ -14,6 +14,10 @@ def _salts(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _hashable(df: DataFrame, column: str) -> bool:
+    return not any(t in df.schema[column].dataType.simpleString() for t in ("map<", "variant"))
+
+
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of every key in the given order. Rows with a null key part equal nothing and are all kept.
 
@@ -25,10 +29,10 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     null = F.lit(False)
     for t in tmp:
         null = null | F.col(t).isNull()
-    # a row without a key is a group of its own, so that one pass and one shuffle serve both kinds
-    keyed = keyed.withColumn("__own", F.when(null, F.monotonically_increasing_id()))
-    w = Window.partitionBy(*tmp, "__own").orderBy(*order)
-    return keyed.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__own", *tmp)
+    w = Window.partitionBy(*tmp).orderBy(*order)
+    first = keyed.where(~null).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", *tmp)
+    # rows without a key need no shuffle; numbering them apart instead would depend on the order they are read in
+    return first.unionByName(keyed.where(null).drop(*tmp))
 
 
 def mark_copies(df: DataFrame, keys: list[Column], order: list[Column], flag: str = "is_copy", salts: int | None = None) -> DataFrame:
@@ -44,7 +48,8 @@ def mark_copies(df: DataFrame, keys: list[Column], order: list[Column], flag: st
     null = F.lit(False)
     for t in tmp:
         null = null | F.col(t).isNull()
-    out = out.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    # from the row's content and its task, not from its place: a task that is run again gives every row the same salt
+    out = out.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)], F.spark_partition_id()), F.lit(n)))
     first = Window.partitionBy(*tmp, "__salt").orderBy(*order)
     out = out.withColumn("__rn", F.row_number().over(first))
     # rows already ranked behind keep their salt, so that they don't gather under the key

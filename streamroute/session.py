@@ -59,12 +59,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """Join against a side that is usually small.
 
     The small side's rows are counted (reading stops past max_rows); up to max_rows it is broadcast. Beyond that both
-    sides shuffle, hot keys of the big side being spread over `salts` copies of the small side's rows.
+    sides shuffle, hot keys of the big side being spread by their tasks over `salts` copies of the small side's rows.
     how: inner, left, left_semi or left_anti.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
