@@ -14,7 +14,8 @@ construction (no 16-byte key can equal it), and for the keys just inserted.
 What a batch answers depends on which rows it holds, so rows should come from a table or another source that gives them
 in the same order when a task is run again.
 
-Defined results: a null key was never seen and is never stored. Rows with the same key and the same number (repeated
+Defined results: a null key was never seen and is never stored, nor is a row without a number (it has no place in the
+order). Rows with the same key and the same number (repeated
 rows): one counts as the first, the others as seen.
 """
 
@@ -121,7 +122,7 @@ def seen_before(rows: DataFrame, key: Column, number: str, history: DataFrame |
     answered with yes), n_missed (stored keys answered with no, always 0) and filter_bytes.
     """
     spark = rows.sparkSession
-    mine = rows.select(F.xxhash64(key).alias("h"), F.col(number).cast("bigint").alias("seq"), F.lit(False).alias("past"), key.isNull().alias("no_key"))
+    mine = rows.select(F.xxhash64(key).alias("h"), F.col(number).cast("bigint").alias("seq"), F.lit(False).alias("past"), (key.isNull() | F.col(number).isNull()).alias("no_key"))
     null_keys = mine.where("no_key").select(F.lit("row").alias("kind"), "seq", F.lit(False).alias("seen"))
     work = mine.where("not no_key").drop("no_key")
     n = rows.count()

@@ -47,9 +47,10 @@ def test_against_a_set(spark):
 
 
 def test_without_history_empty_and_repeated_rows(spark):
-    df = spark.createDataFrame([(1, "a", None, None)] * 5 + [(2, None, None, None)], SCHEMA)
+    df = spark.createDataFrame([(1, "a", None, None)] * 5 + [(2, None, None, None), (None, "a", None, None)], SCHEMA)
     got = sk.seen_before(df, F.col("id"), "ingest_seq").where("kind = 'row'").collect()
-    assert sorted((r["ingest_seq"], r["seen"]) for r in got) == [(1, False)] + [(1, True)] * 4 + [(2, False)]
+    assert [r["seen"] for r in got if r["ingest_seq"] is None] == [False]
+    assert sorted((r["ingest_seq"], r["seen"]) for r in got if r["ingest_seq"] is not None) == [(1, False)] + [(1, True)] * 4 + [(2, False)]
     none = sk.seen_before(df.limit(0), F.col("id"), "ingest_seq")
     assert none.count() == 0
     assert sk.error_rate(none, 0.1).collect()[0]["measured_rate"] is None
