@@ -601,6 +601,11 @@ SQL = {
     "admission_ema": f"""with recursive {_EV}, n as (select topic, ingest_seq, cast(round(value * 100) as bigint) as x, row_number() over (partition by topic order by ingest_seq) rn from ev),
         f as (select topic, ingest_seq, rn, x as ema from n where rn = 1 union all select n.topic, n.ingest_seq, n.rn, case when f.ema = 0 then n.x else (f.ema * 9 + n.x) // 10 end from f join n on n.topic = f.topic and n.rn = f.rn + 1)
         select topic, arg_max(ema, ingest_seq) as last_ema, max(ema) as most, count(*) filter (where ema < 25000) as n_below from f group by 1""",
+    "token_bucket": f"""with recursive {_EV}, n as (select topic, epoch_ms(ts) as ms, row_number() over (partition by topic order by ingest_seq) rn from ev),
+        f as (select topic, rn, ms as last, 4.0::double as tokens, true as ok from n where rn = 1
+          union all select n.topic, n.rn, greatest(f.last, n.ms), least(5.0::double, f.tokens + greatest(n.ms - f.last, 0)::double * 0.001::double / 1000.0::double) - case when least(5.0::double, f.tokens + greatest(n.ms - f.last, 0)::double * 0.001::double / 1000.0::double) >= 1 then 1.0::double else 0.0::double end, least(5.0::double, f.tokens + greatest(n.ms - f.last, 0)::double * 0.001::double / 1000.0::double) >= 1
+          from f join n on n.topic = f.topic and n.rn = f.rn + 1)
+        select topic, count(*) filter (where ok) as n_allowed, count(*) filter (where not ok) as n_refused from f group by 1""",
     "topic_stats": "select topic, count(*) as n_messages, count(distinct service_id) as n_publishers, max(arrived_at) as last_at from pub_messages group by 1",
     "lifecycle_counters": """select consumer_id, count(*) as delivered, count(*) filter (where ack_status in ('done', 'ok')) as acked, count(*) filter (where ack_status = 'rejected') as nacked,
         count(*) filter (where ack_status = 'duplicate') as duplicates, count(*) filter (where ack_status is null) as in_flight, count(*) filter (where attempt > 1) as redelivered from deliveries group by 1""",
