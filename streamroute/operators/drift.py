@@ -285,6 +285,49 @@ def last_names(report: DataFrame) -> DataFrame:
     return report.where("change_kind in ('renamed', 'topic_renamed')").groupBy("gateway_id").applyInPandas(_chains, "gateway_id string, name string, path string, last string")
 
 
+def _classes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One name for all names that renames connect, within one scope. Rows: 'edge' (a renamed to b in n gateways), 'apart'
+    (a and b live side by side somewhere) and 'vote' (n gateways end with name a). Edges are taken the most frequent
+    first; one that would bring two names living apart under one name is left to its own gateways."""
+    near: dict[str, set[str]] = {}
+    apart = set()
+    votes: Counter = Counter()
+    for kind, a, b, n in zip(pdf["kind"], pdf["a"], pdf["b"], pdf["n"]):
+        if kind == "apart":
+            apart |= {(a, b), (b, a)}
+        elif kind == "vote":
+            votes[a] += int(n)
+    edges = pdf.loc[pdf["kind"] == "edge"]
+    for _, a, b in sorted(zip(-edges["n"], edges["a"], edges["b"])):
+        x, y = near.setdefault(a, {a}), near.setdefault(b, {b})
+        if x is not y and not any((i, j) in apart for i in x for j in y):
+            x |= y
+            near |= {k: x for k in y}
+    rows = [(k, max(sorted(c), key=lambda m: votes[m])) for k, c in near.items()]
+    out = pd.DataFrame(rows, columns=["name", "one_name"])
+    out.insert(0, "scope", pdf["scope"].iloc[0])
+    return out
+
+
+def _side_by_side(sets: DataFrame, one_in: int) -> DataFrame:
+    """Pairs of names that a gateway uses side by side. sets: gateway_id, scope, names (array), n (how often the set)."""
+    pairs = sets.select("gateway_id", "scope", "n", F.explode("names").alias("a"), "names").select("gateway_id", "scope", "n", "a", F.explode("names").alias("b"))
+    pairs = pairs.groupBy("gateway_id", "scope", "a", "b").agg(F.sum("n").alias("n"))
+    single = pairs.where("a = b").select("gateway_id", "scope", "a", F.col("n").alias("n_a"))
+    other = single.select("gateway_id", "scope", F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    both = pairs.where("a < b").join(single, ["gateway_id", "scope", "a"]).join(other, ["gateway_id", "scope", "b"])
+    return both.where(F.col("n") * one_in >= F.least("n_a", "n_b")).select("scope", F.lit("apart").alias("kind"), "a", "b", F.lit(1).cast("bigint").alias("n")).distinct()
+
+
+def one_names(edges: DataFrame, sets: DataFrame, ends: DataFrame, one_in: int) -> DataFrame:
+    """scope, name, one_name over all gateways: the name of a class is the one most gateways end with. edges: gateway_id,
+    scope, a, b; sets as in _side_by_side; ends: gateway_id, scope, a. Only names are brought together, no rows."""
+    e = edges.groupBy("scope", "a", "b").agg(F.count_distinct("gateway_id").alias("n")).select("scope", F.lit("edge").alias("kind"), "a", "b", "n")
+    votes = ends.groupBy("scope", "a").agg(F.count_distinct("gateway_id").alias("n")).select("scope", F.lit("vote").alias("kind"), "a", F.lit("").alias("b"), "n")
+    facts = e.unionByName(_side_by_side(sets, one_in)).unionByName(votes)
+    return facts.groupBy("scope").applyInPandas(_classes, "scope string, name string, one_name string")
+
+
 LEAVES = "request_id bigint, event_no int, gateway_id string, file_no int, topic string, path string, kind string, value string, ordinal bigint"
 
 
@@ -310,14 +353,42 @@ def path_values(requests: DataFrame) -> DataFrame:
 
 
 def consistent_values(requests: DataFrame, report: DataFrame) -> DataFrame:
-    """path_values under the last names of topics and paths, with each path's one type (that most of its values show)
-    and whether the value can be cast to it."""
+    """path_values under one name a topic and path over all gateways (last_topic, last_path), with each path's one type
+    (that most of its values show) and whether the value can be cast to it.
+
+    A gateway's names first become its own last ones; last names that a rename connects in any gateway are then one
+    class under the name most gateways end with, unless a gateway uses two of them side by side.
+    """
+    report = materialize(report.where("change_kind in ('renamed', 'topic_renamed')"), "renames")
     names = materialize(last_names(report), "last-names")
-    topics = names.where("path = ''").select("gateway_id", F.col("name").alias("topic"), F.col("last").alias("last_topic"))
-    paths = names.where("path <> ''").select("gateway_id", F.col("name").alias("last_topic"), "path", F.col("last").alias("last_path"))
-    v = join_small(path_values(requests), topics, ["gateway_id", "topic"], "left").withColumn("last_topic", F.coalesce("last_topic", "topic"))
-    v = join_small(v, paths, ["gateway_id", "last_topic", "path"], "left").withColumn("last_path", F.coalesce("last_path", "path"))
-    v = materialize(v, "path-values")
+    topics = names.where("path = ''").select("gateway_id", F.col("name").alias("topic"), F.col("last").alias("own_topic"))
+    paths = names.where("path <> ''").select("gateway_id", F.col("name").alias("own_topic"), "path", F.col("last").alias("own_path"))
+    v = join_small(path_values(requests), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
+    v = materialize(join_small(v, paths, ["gateway_id", "own_topic", "path"], "left").withColumn("own_path", F.coalesce("own_path", "path")), "own-values")
+
+    scope = F.lit("").alias("scope")
+    edges = report.where("change_kind = 'topic_renamed'").select("gateway_id", scope, F.col("topic").alias("a"), F.col("new_name").alias("b"))
+    used = edges.select(F.explode(F.array("a", "b")).alias("topic")).distinct()
+    seen = join_small(v.select("gateway_id", "file_no", "topic", "own_topic", "request_id", "event_no"), used, ["topic"], "left_semi").distinct()
+    seen = seen.groupBy("gateway_id", "file_no", "topic", "own_topic").agg(F.count(F.lit(1)).alias("n"))
+    in_file = seen.groupBy("gateway_id", "file_no").agg(F.collect_list(F.struct("topic", "n")).alias("all"))
+    # two topics share as many events of a file as the rarer has there
+    sets = in_file.select("gateway_id", scope, F.explode(F.array_distinct("all.n")).alias("at"), "all")
+    lower = F.coalesce(F.array_max(F.filter("all.n", lambda n: n < F.col("at"))), F.lit(0))
+    sets = sets.select("gateway_id", "scope", F.transform(F.filter("all", lambda x: x["n"] >= F.col("at")), lambda x: x["topic"]).alias("names"), (F.col("at") - lower).alias("n"))
+    one_topic = materialize(one_names(edges, sets, seen.select("gateway_id", scope, F.col("own_topic").alias("a")), 2), "one-topics")
+    one_topic = one_topic.where("name <> one_name").select(F.col("name").alias("own_topic"), F.col("one_name").alias("last_topic"))
+    v = join_small(v, one_topic, ["own_topic"], "left").withColumn("last_topic", F.coalesce("last_topic", "own_topic"))
+
+    own = join_small(report.where("change_kind = 'renamed'"), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
+    edges = join_small(own, one_topic, ["own_topic"], "left").select("gateway_id", F.coalesce("last_topic", "own_topic").alias("scope"), F.col("field_path").alias("a"), F.col("new_name").alias("b"))
+    used = edges.select(F.col("scope").alias("last_topic"), F.explode(F.array("a", "b")).alias("path")).distinct()
+    seen = join_small(v.select("gateway_id", "last_topic", "path", "own_path", "request_id", "event_no"), used, ["last_topic", "path"], "left_semi")
+    sets = seen.groupBy("gateway_id", F.col("last_topic").alias("scope"), "request_id", "event_no").agg(F.sort_array(F.collect_set("path")).alias("names"))
+    sets = sets.groupBy("gateway_id", "scope", "names").agg(F.count(F.lit(1)).alias("n"))
+    one_path = one_names(edges, sets, seen.select("gateway_id", F.col("last_topic").alias("scope"), F.col("own_path").alias("a")), ONE_IN)
+    one_path = materialize(one_path, "one-paths").where("name <> one_name").select(F.col("scope").alias("last_topic"), F.col("name").alias("own_path"), F.col("one_name").alias("last_path"))
+    v = join_small(v, one_path, ["last_topic", "own_path"], "left").withColumn("last_path", F.coalesce("last_path", "own_path")).drop("own_topic", "own_path")
     shown = v.groupBy("last_topic", "last_path", "kind").agg(F.count(F.lit(1)).alias("n"))
     one = shown.groupBy("last_topic", "last_path").agg(F.max_by("kind", F.struct("n", "kind")).alias("type"))
     v = join_small(v, one, ["last_topic", "last_path"], "inner")
@@ -336,14 +407,30 @@ def cast_report(values: DataFrame) -> DataFrame:
     )
 
 
+def _names_in(values: DataFrame, topic: str, fields: list[str]) -> tuple[str, dict[str, str]]:
+    """The names that a topic and its fields have in the consistent table; any name of a class will do."""
+
+    def most(rows: list, wanted: str) -> str:
+        own = [r for r in rows if r["name"] == wanted]
+        return wanted if any(r["one"] == wanted for r in rows) or not own else max(own, key=lambda r: (r["n"], r["one"]))["one"]
+
+    n = F.count(F.lit(1)).alias("n")
+    top = most(values.where((F.col("topic") == topic) | (F.col("last_topic") == topic)).groupBy(F.col("topic").alias("name"), F.col("last_topic").alias("one")).agg(n).collect(), topic)
+    mine = values.where((F.col("last_topic") == top) & (F.col("path").isin(fields) | F.col("last_path").isin(fields)))
+    rows = mine.groupBy(F.col("path").alias("name"), F.col("last_path").alias("one")).agg(n).collect()
+    return top, {f: most(rows, f) for f in fields}
+
+
 def consistent_table(values: DataFrame, topic: str, fields: dict[str, str]) -> DataFrame:
     """One typed table of a topic: request_id, event_no, gateway_id, file_no and a column a field (arrays for repeated
-    paths, in document order; values that fail the cast are null). fields: path -> type, from cast_report."""
+    paths, in document order; values that fail the cast are null). fields: path -> type, from cast_report. Topic and
+    fields may be named by any name of theirs; the columns have the names asked for."""
+    topic, last_paths = _names_in(values, topic, list(fields))
     spark_type = {"number": "double", "boolean": "boolean", "string": "string"}
     aggs = []
     for path, kind in fields.items():
         typed = F.when(F.col("castable"), F.expr(f"try_cast(value as {spark_type[kind]})"))
-        mine = F.col("last_path") == path
+        mine = F.col("last_path") == last_paths[path]
         name = re.sub(r"\W+", "_", path).strip("_")
         if "[]" in path:
             both = F.sort_array(F.collect_list(F.when(mine, F.struct("ordinal", typed.alias("v")))))

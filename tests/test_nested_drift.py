@@ -126,3 +126,27 @@ def test_one_consistent_table_with_failed_casts(spark):
     t = drift.consistent_table(values, "new", {"id": "string", "total": "number", "l[].x": "number"})
     assert t.count() == 28 and dict(t.dtypes)["total"] == "double"
     assert {tuple(r["l_x"]) for r in t.where("file_no = 2").collect()} == {(1.0, 2.0)}
+
+
+def test_one_table_over_gateways_of_which_one_renames(spark):
+    plain = [{k: v for k, v in s.items() if k != "ok"} for s in (*sample(21), *sample(22), *sample(23), *sample(24))]
+    rows = [(g, 1 + i // 20, event("order", **s)) for g in ("g1", "g2") for i, s in enumerate(plain[:40])]
+    rows += [("g3", 1, event("order", **s)) for s in plain[:20]]
+    rows += [("g3", 2, event("shop.order", **s)) for s in plain[20:40]]
+    rows += [("g3", 3, event("shop.order", **{("ref" if k == "id" else k): v for k, v in s.items()})) for s in plain[40:60]]
+    rows += [("g4", f, event("order", **s)) for f in (1, 2) for s in plain[60:]]
+    requests = files(spark, rows)
+    values = drift.consistent_values(requests, drift.changes(drift.file_statistics(requests))).cache()
+    assert {(r["last_topic"], r["last_path"]) for r in values.collect()} == {("order", p) for p in ("id", "qty", "total", "region")}
+    for topic, field in (("order", "id"), ("shop.order", "ref")):
+        t = drift.consistent_table(values, topic, {field: "string", "total": "number"})
+        assert t.count() == len(rows) and t.where(f"{field} is null or total is null").count() == 0
+
+
+def test_names_used_side_by_side_stay_apart(spark):
+    rows = [("g1", 1, event("t", id=s["id"], total=s["total"])) for s in sample(31)] + [("g1", 2, event("t", ref=s["id"], total=s["total"])) for s in sample(32)]
+    rows += [("g2", f, event("t", id=s["id"], ref="other", total=s["total"])) for f in (1, 2) for s in sample(33)]
+    requests = files(spark, rows)
+    values = drift.consistent_values(requests, drift.changes(drift.file_statistics(requests)))
+    got = {(r["gateway_id"], r["path"], r["last_path"]) for r in values.where("path <> 'total'").collect()}
+    assert got == {("g1", "id", "ref"), ("g1", "ref", "ref"), ("g2", "id", "id"), ("g2", "ref", "ref")}
