@@ -1,20 +1,21 @@
 """Schemas that drift between files: one consistent table and a report of each change.
 
 Events are loaded as path-value maps with raw types; per file the statistics of every path are counted as mergeable
-numbers (how many events carry it, with which types, and a bounded profile of the values: their written forms hashed
-to buckets, their decimals and magnitudes). Files are then compared in order, renames are recognised by profile, and
+numbers (how many events carry it, with which types, and a profile of the values: 64-bit hashes of their written forms, their
+decimals and magnitudes). Files are then compared in order, renames are recognised by profile, and
 the columns are projected with the type most files agree on, failed casts being reported.
 
-Only counts are shuffled: one row per path, file and statistic, however many events there are.
+Only counts are shuffled: one row per path, file and statistic, however many events there are. Forms of texts may be
+as many as the values; they are joined pair by pair where a rename is in question and never go to one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from streamroute.session import join_small, materialize
 
 #: A field belongs to a topic and file if at least one in so many events carries it.
 ONE_IN = 5
-#: Buckets of the hashed forms of a field's values.
+#: From half of so many forms on a vocabulary is open, however many values show them.
 FORMS = 4096
 #: Least overlap of two profiles of strings, largest distance of two profiles of numbers, largest quotient of their ranges' ends.
 SAME_FORMS, SAME_NUMBERS, SAME_RANGE = 0.25, 0.5, 1.6
@@ -48,8 +49,8 @@ def forms(v: str) -> tuple[str, str]:
     return near, re.sub(r"(?:[aA] ?)+", "a", far)
 
 
-def _bucket(form: str) -> int:
-    return (zlib.crc32(form.encode("utf-8", "replace")) * 2654435761 >> 16) % FORMS
+def _hash(form: str) -> str:
+    return hashlib.blake2b(form.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def profile(v) -> list[str]:
@@ -58,7 +59,7 @@ def profile(v) -> list[str]:
         return ["b"]
     if isinstance(v, str):
         near, far = forms(v)
-        return [f"s{_bucket(near)}", f"S{_bucket(far)}"]
+        return [f"s{_hash(near)}", f"S{_hash(far)}"]
     if isinstance(v, int):
         decimals = 0
     else:
@@ -137,8 +138,8 @@ class Field:
         self.has = stats.get("has", 0)
         types = [(n, k) for s, n in stats.items() if s.startswith("type:") for k in [s[5:]]]
         self.type = max(types, key=lambda x: (x[0], x[1]))[1] if types else "null"
-        self.of = {c: _shares({s[1:]: n for s, n in stats.items() if s[:1] == c and not s.startswith("type:") and s != "has"}) for c in "sSdq"}
-        self.n = {c: sum(n for s, n in stats.items() if s[:1] == c and not s.startswith("type:")) for c in "sq"}
+        self.of = {c: _shares({s[1:]: n for s, n in stats.items() if s[:1] == c}) for c in "dq"}
+        self.n = {c: (stats.get(f"values:{c}", 0), stats.get(f"forms:{c}", 0)) for c in "sS"}
 
 
 def _shares(counts: dict[str, int]) -> dict[str, float]:
@@ -146,10 +147,6 @@ def _shares(counts: dict[str, int]) -> dict[str, float]:
     return {k: n / total for k, n in counts.items()} if total else {}
 
 
-def _overlap(a: dict[str, float], b: dict[str, float]) -> float:
-    return sum(min(x, b.get(k, 0.0)) for k, x in a.items())
-
-
 def _order(size: str) -> float:
     """Sort key of a magnitude bucket."""
     if size == "0":
@@ -158,18 +155,19 @@ def _order(size: str) -> float:
     return sign * (float(m) + 1e5)
 
 
-def alike(a: Field, b: Field) -> float:
-    """0 if the two fields' values are of different kinds, else how alike they are (up to 1)."""
+def alike(a: Field, b: Field, common: dict[str, tuple[float, int]]) -> float:
+    """0 if the two fields' values are of different kinds, else how alike they are (up to 1). common: for two texts the
+    exact overlap of their forms (s) and of their forms without letters (S), and how many forms they share."""
     if a.type != b.type:
         return 0.0
     if a.type == "boolean":
         return 1.0
     if a.type == "string":
-        near = _overlap(a.of["s"], b.of["s"])
-        if near < CLEAR and len(a.of["s"].keys() & b.of["s"].keys()) < SAME_VOCABULARY * len(a.of["s"].keys() | b.of["s"].keys()):
+        near, shared = common.get("s", (0.0, 0))
+        if near < CLEAR and shared < SAME_VOCABULARY * (a.n["s"][1] + b.n["s"][1] - shared):
             near = 0.0
-        is_open = all(len(f.of["s"]) > 0.5 * min(f.n["s"], FORMS) and f.n["s"] >= 8 for f in (a, b))
-        score = max(near, _overlap(a.of["S"], b.of["S"]) if is_open else 0.0)
+        is_open = all(k > 0.5 * min(n, FORMS) and n >= 8 for n, k in (a.n["s"], b.n["s"]))
+        score = max(near, common.get("S", (0.0, 0))[0] if is_open else 0.0)
         return score if score >= SAME_FORMS else 0.0
     da, db = a.of["d"], b.of["d"]
     whole_a, whole_b = da.get("0", 0.0), db.get("0", 0.0)
@@ -193,13 +191,13 @@ def _near_names(p: str, q: str) -> tuple:
     return (pp == qp or pl == ql, p.count("[]") == q.count("[]"), common)
 
 
-def renames(old: dict[str, Field], new: dict[str, Field]) -> dict[str, str]:
+def renames(old: dict[str, Field], new: dict[str, Field], common: Callable) -> dict[str, str]:
     """Pairs of a field that leaves and one that enters with the same kind of values, the surest pairs first."""
     gone, come = [p for p in old if p not in new], [p for p in new if p not in old]
     pairs = []
     for p in gone:
         for q in come:
-            if (score := alike(old[p], new[q])) > 0:
+            if (score := alike(old[p], new[q], common(p, q))) > 0:
                 pairs.append((_near_names(p, q)[0], round(score, 1), *_near_names(p, q)[1:], p, q))
     out: dict[str, str] = {}
     for *_, p, q in sorted(pairs, key=lambda x: (x[:-2], [-ord(c) for c in x[-2] + x[-1]]), reverse=True):
@@ -211,8 +209,9 @@ def renames(old: dict[str, Field], new: dict[str, Field]) -> dict[str, str]:
 CHANGES = "gateway_id string, topic string, file_no int, change_kind string, field_path string, new_name string"
 
 
-def compare_gateway(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All changes of one gateway's files from its statistics."""
+def _schemas(pdf: pd.DataFrame) -> tuple[dict, dict[str, list[int]], list[tuple]]:
+    """Of one gateway: the fields of each topic and file; the files of each topic; the topics that may be renamed, as
+    (file that ends, file that begins, topic that ends, topic that begins)."""
     stats: dict = defaultdict(lambda: defaultdict(dict))
     events: dict = {}
     for topic, file_no, path, stat, n in zip(pdf["topic"], pdf["file_no"], pdf["path"], pdf["stat"], pdf["n"]):
@@ -225,26 +224,69 @@ def compare_gateway(pdf: pd.DataFrame) -> pd.DataFrame:
     of_topic: dict[str, list[int]] = defaultdict(list)
     for t, f in sorted(events, key=lambda x: x[1]):
         of_topic[t].append(f)
+    turns = []
+    for a, b in zip(files, files[1:]):
+        begun = [u for u, fs in of_topic.items() if fs[0] == b]
+        turns += [(a, b, t, u) for t, fs in of_topic.items() if fs[-1] == a for u in begun]
+    return schema, of_topic, turns
+
+
+_PAIR = ["topic_a", "file_a", "path_a", "topic_b", "file_b", "path_b"]
+PAIRS = "gateway_id string, topic_a string, file_a int, path_a string, topic_b string, file_b int, path_b string"
+
+
+def text_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of text fields of one gateway whose forms must be compared."""
+    schema, of_topic, turns = _schemas(pdf)
+    rows = []
+
+    def add(t: str, a: int, p: str, u: str, b: int, q: str) -> None:
+        if schema[t, a][p].type == schema[u, b][q].type == "string":
+            rows.append((t, a, p, u, b, q))
+
+    for t, fs in of_topic.items():
+        for a, b in zip(fs, fs[1:]):
+            old, new = schema[t, a], schema[t, b]
+            for p in (p for p in old if p not in new):
+                for q in (q for q in new if q not in old):
+                    add(t, a, p, t, b, q)
+    for a, b, t, u in turns:
+        both = schema[t, a].keys() & schema[u, b].keys()
+        if len(both) >= SAME_FIELDS * max(1, len(schema[t, a].keys() | schema[u, b].keys())):
+            for p in sorted(both):
+                add(t, a, p, u, b, p)
+    out = pd.DataFrame(rows, columns=_PAIR)
+    out.insert(0, "gateway_id", pdf["gateway_id"].iloc[0])
+    return out
+
+
+def compare_gateway(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
+    """All changes of one gateway's files from its statistics and the overlaps of its pairs of texts."""
+    if pdf.empty:
+        return pd.DataFrame(columns=[c.split()[0] for c in CHANGES.split(", ")])
+    schema, of_topic, turns = _schemas(pdf)
+    found: dict = defaultdict(dict)
+    for *pair, kind, common, shared in zip(*(overlaps[c] for c in [*_PAIR, "kind", "common", "shared"])):
+        t, a, p, u, b, q = pair
+        total = schema[t, a][p].n[kind][0] * schema[u, b][q].n[kind][0]
+        found[t, a, p, u, b, q][kind] = (int(common) / total, int(shared))
     rows = []
     for t, fs in of_topic.items():
         for a, b in zip(fs, fs[1:]):
             old, new = schema[t, a], schema[t, b]
-            named = renames(old, new)
+            named = renames(old, new, lambda p, q: found.get((t, a, p, t, b, q), {}))
             rows += [(t, b, "renamed", p, q) for p, q in named.items()]
             rows += [(t, b, "removed", p, "") for p in old if p not in new and p not in named]
             rows += [(t, b, "added", q, "") for q in new if q not in old and q not in named.values()]
             rows += [(t, b, "retyped", p, "") for p in old if p in new and old[p].type != new[p].type]
-    for a, b in zip(files, files[1:]):
-        ended = [t for t, fs in of_topic.items() if fs[-1] == a]
-        begun = [t for t, fs in of_topic.items() if fs[0] == b]
-        pairs = []
-        for t in ended:
-            for u in begun:
-                old, new = schema[t, a], schema[u, b]
-                same = [p for p in old if p in new and alike(old[p], new[p]) > 0]
-                share = len(same) / max(1, len({*old, *new}))
-                if share >= SAME_FIELDS:
-                    pairs.append((share, t, u))
+    at_turn: dict[tuple[int, int], list] = defaultdict(list)
+    for a, b, t, u in turns:
+        old, new = schema[t, a], schema[u, b]
+        same = [p for p in old if p in new and alike(old[p], new[p], found.get((t, a, p, u, b, p), {})) > 0]
+        share = len(same) / max(1, len({*old, *new}))
+        if share >= SAME_FIELDS:
+            at_turn[a, b].append((share, t, u))
+    for (_, b), pairs in at_turn.items():
         used: set[str] = set()
         for _, t, u in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
             if t not in used and u not in used:
@@ -255,9 +297,39 @@ def compare_gateway(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair of fields and kind of form (s, S): the sum over common forms of the smaller share, times the product of
+    both fields' values (whole numbers, so exact in any order), and the number of common forms."""
+    at = ["gateway_id", "topic", "file_no", "path"]
+
+    def side(x: str) -> DataFrame:
+        p = pairs.withColumns({"topic": F.col(f"topic_{x}"), "file_no": F.col(f"file_{x}"), "path": F.col(f"path_{x}")})
+        n = [F.when(F.lit(x == y), F.col(c)).otherwise(0).cast("decimal(19,0)").alias(f"{c}_{y}") for c in ("n", "of") for y in "ab"]
+        return join_small(forms, p, at).select("gateway_id", *_PAIR, "kind", "stat", *n)
+
+    both = side("a").unionByName(side("b")).groupBy("gateway_id", *_PAIR, "kind", "stat").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "of_a", "of_b")])
+    both = both.where("n_a > 0 and n_b > 0")
+    least = F.least(F.col("n_a") * F.col("of_b"), F.col("n_b") * F.col("of_a"))
+    return both.groupBy("gateway_id", *_PAIR, "kind").agg(F.sum(least).cast("string").alias("common"), F.count(F.lit(1)).alias("shared"))
+
+
 def changes(statistics: DataFrame) -> DataFrame:
-    """The report of changes. A gateway's statistics (its files, topics and paths, not its events) go to one task."""
-    return statistics.groupBy("gateway_id").applyInPandas(compare_gateway, CHANGES)
+    """The report of changes. A gateway's statistics (its files, topics and paths, neither its events nor the forms of
+    its texts) go to one task."""
+    at = ["gateway_id", "topic", "file_no", "path"]
+    st = materialize(statistics, "drift-statistics")
+    is_form = F.substring("stat", 1, 1).isin("s", "S")
+    forms = st.where(is_form).withColumn("kind", F.substring("stat", 1, 1))
+    sums = materialize(forms.groupBy(*at, "kind").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("forms")), "drift-sums")
+    small = st.where(~is_form)
+    for name, n in (("values:", "of"), ("forms:", "forms")):
+        small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
+    pairs = materialize(small.groupBy("gateway_id").applyInPandas(text_pairs, PAIRS), "drift-pairs")
+    asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
+    sums = join_small(sums.select(*at, "kind", "of"), asked.select("gateway_id", "f.*").distinct(), at, "left_semi")
+    forms = join_small(forms, sums, [*at, "kind"])
+    overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
+    return small.groupBy("gateway_id").cogroup(overlaps.groupBy("gateway_id")).applyInPandas(compare_gateway, CHANGES)
 
 
 def _chains(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -150,3 +150,12 @@ def test_names_used_side_by_side_stay_apart(spark):
     values = drift.consistent_values(requests, drift.changes(drift.file_statistics(requests)))
     got = {(r["gateway_id"], r["path"], r["last_path"]) for r in values.where("path <> 'total'").collect()}
     assert got == {("g1", "id", "ref"), ("g1", "ref", "ref"), ("g2", "id", "id"), ("g2", "ref", "ref")}
+
+
+def test_large_vocabularies_of_different_formats_are_no_rename(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    mail, path = lambda: f"{word()}@{word()}.org", lambda: f"/{word()}/{word()}/{word()}"
+    batch = lambda make: json.dumps({"events": [{"topic": "t", "data": {k: f() for k, f in make.items()}} for _ in range(2000)]})
+    rows = [("g", f, batch({name: make})) for f, name, make in ((1, "a", mail), (2, "b", path), (3, "c", path)) for _ in range(10)]
+    assert report(spark, rows) == [("t", 2, "added", "b", ""), ("t", 2, "removed", "a", ""), ("t", 3, "renamed", "b", "c")]
