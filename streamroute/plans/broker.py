@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamroute.functions.msgid import canonical_id, canonical_sql
 from streamroute.operators import dedup, drift, incremental, nested, skew
-from streamroute.session import table
+from streamroute.session import join_small, shared_dir, table
 
 
 
@@ -68,13 +70,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.records_since(table(spark, d, "wal_records"), table(spark, d, "replica_marks"))
 
 
-def p4_segment_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, distinct records and repairs of every segment, the counts that the fingerprints are made of."""
-    r = table(spark, d, "wal_records").where("shard is not null and segment is not null and wal_offset is not null")
-    n = r.groupBy("shard", "segment").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("revision") > 0).alias("n_repairs"), F.max("wal_offset").alias("last_offset")
-    )
-    return n
+def p4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint of every segment's records."""
+    rows = incremental.whole_records(table(spark, d, "wal_records"))
+    return incremental.fingerprints(rows, incremental.SEGMENT, F.col("content"))
+
+
+def p4_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and repairs of every segment, kept by two runs: the first sees the records as first written, the second all.
+    recomputed tells the segments that the second one had to do."""
+    r = table(spark, d, "wal_records").where("shard is not null and segment is not null")
+    count = lambda df: df.groupBy(*incremental.SEGMENT).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("revision") > 0).alias("n_repairs"))
+    t = incremental.IncrementalTable(spark, f"{shared_dir(spark)}/two-runs-{uuid.uuid4().hex}", incremental.SEGMENT, [*incremental.RECORD_COLUMNS, "scan_no"], count)
+    t.refresh(r.where("coalesce(revision, 0) = 0"))
+    again = t.refresh(r).withColumn("recomputed", F.lit(True))
+    return join_small(t.read(), again, incremental.SEGMENT, "left").fillna(False, ["recomputed"])
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +113,7 @@ def p5_topic_stats(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ids.withColumnRenamed("topic", "t"), F.col("topic").eqNullSafe(F.col("t"))).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_segment_fingerprints, p5_found, p5_topic_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
 
 _MID = canonical_sql("msg_id")
 SQL = {
@@ -132,9 +142,13 @@ SQL = {
         where w.shard is not null and w.segment is not null and w.wal_offset is not null
           and (m.follower_id is null or w.segment > m.last_segment or (w.segment = m.last_segment and w.wal_offset > m.last_offset)
                or (w.revision > 0 and w.written_at > m.confirmed_at))""",
-    "p4_segment_fingerprints": """
-        select shard, segment, count(*) as n_rows, count(*) filter (where revision > 0) as n_repairs, max(wal_offset) as last_offset
-        from wal_records where shard is not null and segment is not null and wal_offset is not null group by 1, 2""",
+    "p4_fingerprints": f"""
+        with h as (select shard, segment, {incremental.row_hash_sql(incremental.RECORD_COLUMNS)} as h from wal_records
+                   where shard is not null and segment is not null and wal_offset is not null)
+        select shard, segment, count(*) as fp_rows, cast(sum(h >> 32) as bigint) as fp_high, cast(sum(h & 4294967295) as bigint) as fp_low from h group by 1, 2""",
+    "p4_two_runs": """
+        select shard, segment, count(*) as n_rows, count(*) filter (where revision > 0) as n_repairs, count(*) filter (where revision > 0) > 0 as recomputed
+        from wal_records where shard is not null and segment is not null group by 1, 2""",
     "p5_found": """
         with t as (select 'pub_messages' as table_name, topic from pub_messages union all select 'deliveries', topic from deliveries),
         a as (select table_name, count(*) n from t group by 1)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may hold to be broadcast (rows are counted, never guessed).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes a side may hold to be broadcast (both are measured, never guessed).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Ways the larger side of a hot key is split when the other side is too large to broadcast.
 JOIN_SALTS = 32
 
@@ -38,10 +39,13 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a local master (tests, all in one process) gets a temporary folder; on any other
+    master that is an error, since a folder of the driver's machine isn't shared.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="streamroute-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -55,14 +59,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _small_enough(small: DataFrame, max_rows: int) -> bool:
+    """Rows and bytes of a side, read only until max_rows are passed."""
+    size = F.lit(0).cast("bigint")
+    for f in small.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    n = small.limit(max_rows + 1).select(size.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return n["n"] <= max_rows and n["b"] <= BROADCAST_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = JOIN_SALTS) -> DataFrame:
     """Join against a side that is usually small.
 
-    The small side's rows are counted (reading stops past max_rows); up to max_rows it is broadcast. Beyond that both
-    sides shuffle, hot keys of the big side being spread by their tasks over `salts` copies of the small side's rows.
+    The small side's rows and bytes are counted (reading stops past max_rows); up to max_rows and BROADCAST_BYTES it is
+    broadcast. Beyond that both sides shuffle, hot keys of the big side being spread by their tasks over `salts` copies
+    of the small side's rows.
     how: inner, left, left_semi or left_anti.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if _small_enough(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -78,3 +98,21 @@ def spread(df: DataFrame) -> DataFrame:
     than a shuffle of their input. Tables of many files or splits are never shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path on any file system that Spark can use."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Was a table written whole to this path?"""
+    fs, at = hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, [] where there is none."""
+    fs, at = hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
