@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -18,7 +17,12 @@ SPAN = 240
 DAMP = 80
 (OTHER, LETTER, DIGIT, SPACE, BREAK, COMMA, PIPE, HASH, SLASH, COLON, STOP, CODE, QUOTE, LOW, DROP, BRACKET) = range(16)
 
-_SOURCE = re.compile(r'"source": ?"((?:[^"\\]|\\.)*)"', re.S)
+#: A JSON string, whether it is a key, and a last one that was cut off.
+_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)(?:"(\s*:)?|\Z)', re.S)
+_CELLS = re.compile(r'"cells"\s*:\s*\[')
+#: Fields of the notebook format that hold one word of its own instead of text.
+_FORMAT = {"cell_type", "output_type", "kernel", "name", "mimetype", "language", "file_extension"}
+_WORD = re.compile(r"[\w.+/-]{0,40}\Z")
 
 
 def _class_table() -> np.ndarray:
@@ -44,16 +48,32 @@ def classes() -> np.ndarray:
 
 
 def plain(text: str) -> str:
-    """The cells' sources where the text is a notebook's JSON, else the text itself."""
-    if text.startswith('{"cells"'):
-        found = _SOURCE.findall(text)
-        if found:
-            joined = "\\n".join(found)
+    """All texts of a notebook's JSON in document order, whatever field they stand in (sources and outputs as one string or
+    as lists, cut-off notebooks too); any other text as it is. Of the JSON only signs, keys, numbers and the format's own
+    single words (FORMAT) are left out."""
+    if not text.lstrip("\ufeff \t\r\n").startswith("{") or not _CELLS.search(text):
+        return text
+    found, key = [], ""
+    for m in _STRING.finditer(text):
+        if m[2]:
+            key = m[1]
+        elif key not in _FORMAT or not _WORD.match(m[1]):
+            found.append(m[1])
+    return "\n".join(_decoded(found))
+
+
+def _decoded(strings: list[str]) -> list[str]:
+    """JSON strings without their escapes; those whose escapes are broken lose none of their characters."""
+    try:
+        return [json.loads('"' + "\\n".join(strings) + '"', strict=False)]
+    except ValueError:
+        out = []
+        for s in strings:
             try:
-                return json.loads(f'"{joined}"', strict=False)
+                out.append(json.loads(f'"{s}"', strict=False))
             except ValueError:
-                return joined.replace("\\n", "\n")
-    return text
+                out.append(s.replace("\\n", "\n"))
+        return out
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,7 +112,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     texts = [plain(t) for t in texts]
     big = "\n".join(texts) + "\n"
-    codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
     doc_at = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     k = classes()[codes]
     keep = k != DROP
@@ -173,7 +193,3 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.column_stack([np.asarray(x, float) for x in cols])
     kept = chars > 0
     return doc_at[seg_start][kept], out[kept]
-
-
-if sys.byteorder != "little":
-    raise ImportError("line features need a little-endian machine")

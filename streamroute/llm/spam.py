@@ -10,12 +10,16 @@ model has no word list and no language. It is fitted here: lines of a bounded se
 unmistakable are labelled by strict rules, and the emission and transition tables are then re-estimated by Viterbi
 training on all lines of the sample. Every line of every page is then labelled.
 
-Defined results: null, empty and blank texts are no cases; text is used whole.
+Beside the sample a few made-up pages of every kind are fitted, so that the labels don't depend on how many pages of a
+kind a corpus holds.
+
+Defined results: null, empty and blank texts are no cases; text is used whole (of a notebook's JSON: all its strings).
 """
 
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,10 @@ SAMPLE_PAGES = 3000
 MOST = 0.5
 #: Rounds of Viterbi training after the rules' labels.
 ROUNDS = 1
-#: Labelled lines from which a state counts as known, and what entering one that doesn't costs.
-LEAST_LINES, CLOSED = 25, -30.0
+#: Characters of the sample in all, and of a page that may be in it (it is fitted in one task).
+SAMPLE_CHARS, PAGE_CHARS = 30_000_000, 50_000
+#: Made-up pages of each kind that are fitted beside the sample, so that no kind is unknown where a corpus lacks it.
+EXAMPLES = 4
 #: Characters labelled at once.
 BLOCK = 1_000_000
 
@@ -120,8 +126,7 @@ class LineModel:
 
     @staticmethod
     def count(doc: np.ndarray, obs: np.ndarray, label: np.ndarray) -> LineModel:
-        """Tables from labelled lines; unlabelled ones (-1) are passed over. Laplace-smoothed. A state with fewer than
-        LEAST_LINES examples is all but closed: its flat emissions would take in whatever is odd."""
+        """Tables from labelled lines; unlabelled ones (-1) are passed over. Laplace-smoothed."""
         k = len(STATES)
         known = label >= 0
         emit = []
@@ -132,8 +137,7 @@ class LineModel:
         move = np.bincount(label[:-1][pair] * k + label[1:][pair], minlength=k * k).reshape(k, k) + 2.0
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) & known
         start = np.bincount(label[first], minlength=k) + 2.0
-        cost = np.where(np.bincount(label[known], minlength=k) < LEAST_LINES, CLOSED, 0.0)
-        return LineModel(np.log(start / start.sum()) + cost, np.log(move / move.sum(1, keepdims=True)) + cost, emit)
+        return LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), emit)
 
     def viterbi(self, doc: np.ndarray, obs: np.ndarray) -> np.ndarray:
         """Most likely labels; all pages of a block advance together, a line a step."""
@@ -182,12 +186,50 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
+def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int]]:
+    """n made-up pages of each kind of line, from syllables, with the state of their lines. They are few beside a corpus'
+    own lines."""
+    r = random.Random(seed)
+    syllable = [c + v + e for c in "bdfgklmnprstv" for v in "aeiou" for e in ("", "n", "r")]
+    word = lambda: "".join(r.choice(syllable) for _ in range(r.randint(1, 4)))
+    pages = []
+    for i in range(n):
+        rare, some, few = ([word() for _ in range(k)] for k in (400, 24, 8))
+        term = lambda: " ".join(r.sample(few, r.randint(2, 3)))
+        # words of sentences are as uneven as in any language
+        say = lambda ws, k: " ".join(ws[int(len(ws) * r.random() ** (2 if ws is rare else 1))] for _ in range(k)).capitalize() + "."
+        kinds = [
+            (PROSE, lambda: " ".join(say(rare, r.randint(7, 14)) for _ in range(3))),
+            (CODE, lambda: f"{word()}_{word()} = {word()}.{word()}({word()}[{r.randrange(9)}], {word()}={r.randrange(99)})"),
+            (DATA, lambda: "  ".join(f"{r.uniform(0, 900):.3f}" for _ in range(6))),
+            (DATA, lambda: f"[{r.randrange(99)}] {word().title()}, {word().title()} ({r.randrange(1950, 2025)}). {say(rare, r.randint(6, 12))} https://{word()}.example/{word()}/{r.randrange(9999)}"),
+            (DATA, lambda: f"{r.randrange(24):02d}:{r.randrange(60):02d} {few[0]} {few[1]} {r.randrange(99)} {few[2]} {r.uniform(0, 9):.2f} s"),
+            (LINKS, lambda: f"- [{term()}](https://{word()}.example/{'-'.join(r.sample(few, 2))})"),
+            (LINKS, lambda: f"https://{word()}.example/{'-'.join(r.sample(few, 2))}/{r.choice(few)}?{r.choice(few)}={r.randrange(999)}"),
+            (TAGS, lambda: " ".join("#" + "_".join(r.sample(few, 2)) for _ in range(8))),
+            (MENU, lambda: ", ".join(term() for _ in range(10))),
+            (MENU, lambda: " ".join(term() for _ in range(14))),
+            (MENU, lambda: " ".join(" ".join(r.sample(some, 3)) for _ in range(12))),
+            (MENU, lambda: "[" + ", ".join(f"'{term()}'" for _ in range(4)) + "],"),
+            (MENU, lambda: " ".join(f"{few[0]} {few[1]} {len(few[2]) * 37}" for _ in range(14))),
+            (MENU, lambda: f"{term()} {term()} | {word().upper()}-{r.randrange(999)} | {term()} | {r.randrange(400)}.99"),
+            (STUFFED, lambda: " ".join(say(few, r.randint(7, 12)) for _ in range(3))),
+        ]
+        # short runs of phrases without signs, over vocabularies of several sizes
+        pages += [("\n".join(" ".join(r.choice(rare[:k]) for _ in range(36)) for _ in range(5)), MENU) for k in (12, 18, 26, 36)]
+        # honest pages are of any length, and in long ones every word comes back
+        pages += [("\n".join(line() for _ in range(14 * 3**i if state < LINKS else 14)), state) for state, line in kinds]
+    return pages
+
+
 def fit(texts: list[str], rounds: int = ROUNDS) -> LineModel:
-    """Rules' labels first, then Viterbi training over all lines."""
+    """Rules' labels first, then Viterbi training over all lines, those of the examples included."""
+    made = examples()
+    texts = [*(t for t, _ in made), *texts]
     parts = [(i + doc, f) for i, doc, f in blocks(texts)]
-    doc = np.concatenate([d for d, _ in parts]) if parts else np.empty(0, np.int64)
-    f = np.concatenate([x for _, x in parts]) if parts else np.empty((0, len(FEATURES)))
-    obs, sure = observe(f), unmistakable(f)
+    doc, f = (np.concatenate(x) for x in zip(*parts))
+    obs = observe(f)
+    sure = np.where(doc < len(made), np.array([state for _, state in made])[np.minimum(doc, len(made) - 1)], unmistakable(f))
     model = LineModel.count(doc, obs, sure)
     for _ in range(rounds):
         label = model.viterbi(doc, obs)
@@ -206,17 +248,19 @@ def shares(texts: list[str], model: LineModel) -> np.ndarray:
 
 
 def fit_on(docs: DataFrame, text: str = "text", key: str = "doc_id", pages: int = SAMPLE_PAGES, seed: int = 9) -> LineModel:
-    """A model fitted on at most `pages` pages, those with the smallest seeded hash of their key; fitted in one task,
-    only the tables come back."""
+    """A model fitted on at most `pages` pages of at most PAGE_CHARS characters, those with the smallest seeded hash of
+    their key, and of these on as many as have SAMPLE_CHARS characters; fitted in one task, only the tables come back.
+    The bounds hold for fitting alone: every page is labelled, whole."""
     h = F.xxhash64(F.lit(seed), F.col(key))
     # the hash bound lets about twice as many pages through as are taken, however large the corpus is, so that the
     # tasks don't each send `pages` texts to the one that sorts them
     part = min(1.0, 2.0 * pages / max(1, docs.count()))
     sample = docs.select(key, text, h.alias("__h")).where(F.col("__h") <= F.lit(int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1))
-    sample = sample.where(F.col(text).isNotNull() & (F.trim(text) != "")).orderBy("__h", key).limit(pages)
+    sample = sample.where((F.trim(text) != "") & (F.length(text) <= PAGE_CHARS)).orderBy("__h", key).limit(pages)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": [fit(pdf.sort_values(["__h", key])[text].tolist()).dumps()]})
+        texts = pdf.sort_values(["__h", key])[text]
+        return pd.DataFrame({"model": [fit(texts[texts.str.len().cumsum() <= SAMPLE_CHARS].tolist()).dumps()]})
 
     got = sample.groupBy(F.lit(1).alias("one")).applyInPandas(run, "model string").collect()
     return LineModel.loads(got[0]["model"]) if got else fit([])

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -128,9 +129,36 @@ def test_features_of_one_document_dont_depend_on_its_neighbours():
         assert np.allclose(f[d == i], alone)
 
 
-def test_notebook_json_is_read_as_its_sources():
+def test_notebook_json_is_read_as_all_its_texts():
     assert lf.plain('{"cells":[{"cell_type": "text", "source": "a\\nb"}, {"source": "c \\"d\\""}]}') == 'a\nb\nc "d"'
-    assert lf.plain('{"cells": broken') == '{"cells": broken' and lf.plain("x") == "x"
+    whole = {"metadata": {"title": "T"}, "cells": [{"cell_type": "code", "source": ["x\n", "y"], "outputs": [{"output_type": "stream", "name": "stdout", "text": ["o1\n", "o2"]}, {"data": {"text/plain": "p"}}]}]}
+    for text in (json.dumps(whole), " \n" + json.dumps(whole, indent=2), "\ufeff" + json.dumps(whole)):
+        assert lf.plain(text).split() == ["T", "x", "y", "o1", "o2", "p"]
+    assert lf.plain('{"cells":[{"source": "a\\nb"}, {"source": "cut o') == "a\nb\ncut o"
+    assert lf.plain('{"cells":[{"source": "bad \\q x"}]}') == "bad \\q x"
+    for text in ('{"cells": broken', "x", "", '{"a": "b"}', 'see {"cells": [1]}'):
+        assert lf.plain(text) == text
+
+
+def test_spam_in_any_cell_and_form_of_a_notebook(model):
+    r = random.Random(8)
+    for make in (keywords, links, tags, products):
+        listing = make(r)
+        for source, output, lead in ((listing, [], ""), (listing.splitlines(True), [], " \n"), ("x = 1", listing, ""), ("x = 1", listing.splitlines(True), "\t")):
+            cells = [{"cell_type": "markdown", "source": sentence(r)}, {"cell_type": "code", "source": source, "outputs": [{"output_type": "stream", "name": "stdout", "text": output}]}]
+            n = spam.shares([lead + json.dumps({"metadata": {}, "cells": cells})], model)[0]
+            assert n[spam.LISTING].sum() / n.sum() > spam.MOST
+
+
+@pytest.mark.parametrize("n_spam", [0, 1, 3])
+def test_kinds_that_a_corpus_hardly_holds_are_known(n_spam):
+    r = random.Random(12 + n_spam)
+    corpus = [f(r) for f in HONEST * 8] + [f(r) for f in SPAM for _ in range(n_spam)]
+    m = spam.fit(corpus)
+    n = spam.shares([f(r) for f in SPAM for _ in range(4)], m)
+    assert (n[:, spam.LISTING].sum(1) / n.sum(1) > spam.MOST).sum() >= 26
+    n = spam.shares([f(r) for f in HONEST for _ in range(4)], m)
+    assert not (n[:, spam.LISTING].sum(1) / n.sum(1) > spam.MOST).any()
 
 
 def test_pages_in_spark_with_nulls_blanks_and_long_texts(spark):
