@@ -94,14 +94,15 @@ def sample_mixes(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame
     cut = join_small(hist, small, ["source"]).withColumn("upto", run)
     cut = cut.where(F.col("upto") - F.col("n") < F.col("extra_tokens")).groupBy("mix_id", "source").agg(F.max_by(F.struct("bucket", F.expr("upto - n").alias("below")), "bucket").alias("c"))
     cuts = small.join(cut, ["mix_id", "source"], "left").select("mix_id", "source", "whole", "extra_tokens", F.coalesce("c.bucket", F.lit(-1)).alias("cut"), F.coalesce("c.below", F.lit(0)).alias("below"))
-    rows = join_small(hashed, cuts, ["source"]).where("whole > 0 or bucket <= cut")
-    # only the threshold bucket is walked in hash order; all other rows stay spread over their own hash
-    lane = F.when(F.col("bucket") == F.col("cut"), F.lit(0)).otherwise(F.col("h"))
-    before = F.sum("n_tokens").over(Window.partitionBy("mix_id", "source", "lane").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("lane", lane).withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = join_small(hashed, cuts, ["source"])
+    # buckets below the threshold are taken, those above it aren't; only the threshold bucket is walked in hash order
+    sure = rows.where(F.col("bucket") != F.col("cut")).withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
+    before = F.sum("n_tokens").over(Window.partitionBy("mix_id", "source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    at_cut = rows.where(F.col("bucket") == F.col("cut")).withColumn("before", F.coalesce(before, F.lit(0)))
     fits = F.col("below") + F.col("before") + F.col("n_tokens") / 2 <= F.col("extra_tokens")
-    extra = F.when(F.col("bucket") < F.col("cut"), 1).when((F.col("bucket") == F.col("cut")) & fits, 1).otherwise(0)
-    return rows.withColumn("repeats", (F.col("whole") + extra).cast("int")).where("repeats > 0").select("mix_id", "source", "doc_id", "n_tokens", "repeats")
+    at_cut = at_cut.withColumn("extra", fits.cast("int")).drop("before")
+    taken = sure.unionByName(at_cut).withColumn("repeats", (F.col("whole") + F.col("extra")).cast("int"))
+    return taken.where("repeats > 0").select("mix_id", "source", "doc_id", "n_tokens", "repeats")
 
 
 def reached_shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:

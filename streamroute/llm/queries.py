@@ -9,14 +9,14 @@ from streamroute.functions.msgid import canonical_id, canonical_sql
 from streamroute.llm import bpe, mixing, seen_keys, spam
 from streamroute.session import table
 
-#: Target rate of false positives of the filters.
-SEEN_TARGET = 1e-7
+#: Target rate of false positives of the filters, and absent keys asked for to tell it.
+SEEN_TARGET, SEEN_PROBES = 1e-7, 30_000_000
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
+def _answers(spark: SparkSession, d: str, probes: int = 0) -> DataFrame:
     rows = table(spark, d, "pub_messages").select("ingest_seq", canonical_id("msg_id").alias("mid"))
     past = table(spark, d, "wal_replays").select(F.explode("event_ids").alias("event_id")).select(canonical_id("event_id").alias("old"))
-    return seen_keys.seen_before(rows, F.col("mid"), "ingest_seq", past, F.col("old"), SEEN_TARGET)
+    return seen_keys.seen_before(rows, F.col("mid"), "ingest_seq", past, F.col("old"), SEEN_TARGET, probes=probes)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_rate(spark: SparkSession, d: str) -> DataFrame:
-    return seen_keys.error_rate(_answers(spark, d), SEEN_TARGET)
+    return seen_keys.error_rate(_answers(spark, d, SEEN_PROBES), SEEN_TARGET)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -56,6 +56,52 @@ def test_without_history_empty_and_repeated_rows(spark):
     assert sk.error_rate(none, 0.1).collect()[0]["measured_rate"] is None
 
 
+def test_filters_are_saved_and_grow_over_batches(spark, tmp_path):
+    rows = rows_of(6000, 5)
+    want = brute(rows, [])
+    store = sk.SeenFilters(spark, f"file://{tmp_path}/f", 1e-6)
+    mk = lambda rs: spark.createDataFrame(rs, SCHEMA).repartition(3)
+    take = lambda i: {r["seq"] for r in store.take(i, mk(rows[cuts[i] : cuts[i + 1]]), F.col("id"), F.col("ingest_seq")).where("kind = 'row' and seen").collect()}
+    cuts = [0, 3, 2500, 6000]
+    got = [take(i) for i in range(3)]
+    assert set().union(*got) == want
+    assert take(1) == got[1]  # a batch that is repeated starts from the filters of the one before it
+    assert store.state().where("n_keys > 0").count() >= store.state().select("part").distinct().count() > 0
+    assert store.state(1).agg(F.sum("n_keys")).first()[0] <= 3
+
+
+def test_full_layers_are_followed_by_larger_ones_within_the_target():
+    rng = np.random.default_rng(2)
+    layers = sk.Layers(1000, 0.01)
+    keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    for part in np.array_split(keys, 40):
+        layers.insert(part)
+    assert len(layers.filters) > 3 and sum(layers.counts) == len(keys) and layers.query(keys).all()
+    assert layers.false_yes(100_000, 3) < 0.0125 * 100_000
+    again = sk.Layers(1000, 0.01)
+    for i, (f, n) in enumerate(zip(layers.filters, layers.counts)):
+        again.load(i, n, f.words.tobytes())
+    assert again.query(keys).all() and again.false_yes(100_000, 3) == layers.false_yes(100_000, 3)
+
+
+def test_filters_of_one_size_merge():
+    a, b = sk.BlockedBloom(1000, 0.01), sk.BlockedBloom(1000, 0.01)
+    x, y = np.arange(0, 500, dtype=np.uint64), np.arange(500, 1000, dtype=np.uint64)
+    a.insert(x)
+    b.insert(y)
+    a.merge(b)
+    assert a.query(np.concatenate([x, y])).all()
+    try:
+        a.merge(sk.BlockedBloom(9, 0.01))
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_the_upper_bound_of_a_rate():
+    assert abs(sk.poisson_upper(0) - 2.9957) < 1e-3 and abs(sk.poisson_upper(3) - 7.7537) < 1e-3
+
+
 def test_measured_rate_keeps_to_the_target():
     rng = np.random.default_rng(1)
     for target in (0.05, 0.01, 0.001):
