@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamroute.operators.nested import events_of, kind_of, text_of
+from streamroute.operators.nested import _array, events_of, kind_of, text_of
 from streamroute.session import join_small, materialize
 
 #: A field belongs to a topic and file if at least one in so many events carries it.
@@ -34,8 +34,8 @@ SAME_FORMS, SAME_NUMBERS, SAME_RANGE = 0.25, 0.5, 1.6
 SAME_VOCABULARY, CLEAR = 0.3, 0.6
 #: Least share of common fields for a topic to be another one renamed.
 SAME_FIELDS = 0.6
-#: Magnitude buckets per factor of two.
-PER_OCTAVE = 4
+#: Magnitude buckets per factor of two, and significant digits that a double always holds.
+PER_OCTAVE, FULL = 4, 15
 
 _HEX = re.compile(r"(?<![0-9a-zA-Z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f0-9])[0-9a-f]{7,}(?![0-9a-zA-Z])")
 _DIGITS = re.compile(r"\d+")
@@ -44,7 +44,7 @@ _UPPER, _LOWER = re.compile(r"[A-Z]+"), re.compile(r"[^\W\d_A-Z]+")
 
 def forms(v: str) -> tuple[str, str]:
     """A text's form with digits and hex numbers masked, and with letters masked as well."""
-    near = _DIGITS.sub("9", _HEX.sub("#", v[:200]))
+    near = _DIGITS.sub("9", _HEX.sub("#", v))
     far = _LOWER.sub("a", _UPPER.sub("A", near))
     return near, re.sub(r"(?:[aA] ?)+", "a", far)
 
@@ -57,18 +57,14 @@ def profile(v) -> list[str]:
     """Statistics a value counts towards."""
     if isinstance(v, bool):
         return ["b"]
-    if isinstance(v, str):
+    if type(v) is str:
         near, far = forms(v)
         return [f"s{_hash(near)}", f"S{_hash(far)}"]
-    if isinstance(v, int):
-        decimals = 0
-    else:
-        digits = repr(v).partition(".")[2]
-        decimals = 0 if digits in ("", "0") or "e" in digits else min(6, len(digits))
-    try:
-        x = float(v)
-    except OverflowError:
-        x = math.inf
+    # decimals as a double shows them; one with all digits of a double is of full precision, however many they are
+    whole, _, digits = repr(float(v)).partition("e")[0].partition(".")
+    digits = digits.rstrip("0")
+    decimals = FULL if len((whole.lstrip("-0") + digits).lstrip("0")) >= FULL and digits else len(digits)
+    x = float(v)
     if x == 0:
         size = "0"
     else:
@@ -110,7 +106,7 @@ def file_statistics(requests: DataFrame) -> DataFrame:
                         for k in ks:
                             counts[(*where, path, f"type:{k}")] += 1
             cols = list(zip(*counts)) if counts else [[] for _ in range(5)]
-            arrays = [pa.array(list(c), t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()])]
+            arrays = [_array(list(c), t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()])]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], names=["gateway_id", "topic", "file_no", "path", "stat", "n"])
 
     rows = requests.where("gateway_id is not null and file_no is not null").select("gateway_id", F.col("file_no").cast("int"), "body")
@@ -314,14 +310,19 @@ def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def changes(statistics: DataFrame) -> DataFrame:
-    """The report of changes. A gateway's statistics (its files, topics and paths, neither its events nor the forms of
-    its texts) go to one task."""
+    """The report of changes. Of a gateway's statistics only those of fields that belong to a topic and file go to one
+    task: neither its events nor the forms of its texts, and at most ONE_IN times as many paths a topic and file as its
+    events carry on average, so keys that are data (ids as names) don't gather there."""
     at = ["gateway_id", "topic", "file_no", "path"]
     st = materialize(statistics, "drift-statistics")
+    events = st.where("path = '' and stat = 'events'")
+    fields = join_small(st.where("stat = 'has'"), events.select(*at[:3], F.col("n").alias("events")), at[:3])
+    fields = materialize(fields.where(F.col("n") * ONE_IN >= F.col("events")).select(*at), "drift-fields")
+    st = join_small(st, fields, at, "left_semi")
     is_form = F.substring("stat", 1, 1).isin("s", "S")
     forms = st.where(is_form).withColumn("kind", F.substring("stat", 1, 1))
     sums = materialize(forms.groupBy(*at, "kind").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("forms")), "drift-sums")
-    small = st.where(~is_form)
+    small = st.where(~is_form).unionByName(events)
     for name, n in (("values:", "of"), ("forms:", "forms")):
         small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
     pairs = materialize(small.groupBy("gateway_id").applyInPandas(text_pairs, PAIRS), "drift-pairs")
@@ -418,7 +419,7 @@ def path_values(requests: DataFrame) -> DataFrame:
                     if topic is not None and isinstance(data, dict):
                         rows += [(rid, event_no, gateway, file_no, topic, p, kind_of(v), text_of(v), i) for i, (p, v) in enumerate(leaves(data)) if v is not None]
             cols = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+            yield pa.RecordBatch.from_arrays([_array(list(c), t) for c, t in zip(cols, types)], names=names)
 
     slim = requests.where("gateway_id is not null and file_no is not null").select("request_id", "gateway_id", F.col("file_no").cast("int"), "body")
     return slim.mapInArrow(run, LEAVES)

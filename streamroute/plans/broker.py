@@ -18,15 +18,20 @@ def _arrival() -> list:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_links(nested.triples(table(spark, d, "raw_requests"), nodes_only=True))
+    return nested.node_links(nested.nodes(table(spark, d, "raw_requests")))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return nested.groups(nested.triples(table(spark, d, "raw_requests")))
+    return nested.groups(nested.nodes(table(spark, d, "raw_requests")))
+
+
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, values and characters of every column of every flat table."""
+    return nested.table_profiles(nested.flat_tables(table(spark, d, "raw_requests")))
 
 
 def p1_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.pivot_group(nested.triples(table(spark, d, "raw_requests")), "data.items[]", ["sku", "qty", "quantity"])
+    return nested.pivot_group(nested.nodes(table(spark, d, "raw_requests")), "data.items[]", ["sku", "qty", "quantity"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,10 +118,56 @@ def p5_topic_stats(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ids.withColumnRenamed("topic", "t"), F.col("topic").eqNullSafe(F.col("t"))).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_tables, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
+
+#: Events of the bodies, their data, and every value in it with its path (keys without their quotes).
+_BODIES = r"""
+        ev as (
+          select request_id, e.no as event_no, e.js as js from (
+            select request_id, case when json_type(body, '$.events') = 'ARRAY'
+              then list_transform(generate_series(0, cast(json_array_length(body, '$.events') as bigint) - 1), lambda i: {'no': i, 'js': json_extract(body, '$.events[' || i || ']')})
+              else [{'no': 0::bigint, 'js': body::json}] end as es
+            from raw_requests where json_valid(body) and json_type(body) = 'OBJECT' and not regexp_matches(body, '(NaN|Infinity)')) t, unnest(es) as u(e)),
+        dt as (
+          select request_id, event_no, js,
+            case when json_type(js, '$.data') = 'VARCHAR' and json_valid(js->>'$.data') and json_type(js->>'$.data') = 'OBJECT' then (js->>'$.data')::json else js->'$.data' end as data
+          from ev where json_type(js) = 'OBJECT'),
+        hd as (
+          select request_id, event_no, k, js->'$.headers'->>k as v from dt, unnest(json_keys(js, '$.headers')) as u(k) where json_type(js, '$.headers') = 'OBJECT'),
+        tr as (
+          select request_id, event_no, t.type, t.atom->>'$' as v, 'data' || substr(regexp_replace(t.fullkey, '\."([^"]*)"', '.\1', 'g'), 2) as path
+          from dt, json_tree(data) t where data is not null and json_type(data) <> 'NULL'),
+        nd as (
+          select request_id, event_no, path as node, coalesce(nullif(regexp_extract(path, '^(.*\])\.', 1), ''), 'data') as parent
+          from tr where type = 'OBJECT' and suffix(path, ']')),
+        grps as (
+          select regexp_replace(node, '\[\d+\]', '[]', 'g') as grp, count(*) as n_rows from (
+            select node from nd union all select path from tr where path = 'data' or type not in ('OBJECT', 'ARRAY') and suffix(path, ']') union all select 'headers' from hd) group by 1),
+        cells as (
+          select regexp_replace(node, '\[\d+\]', '[]', 'g') as grp, case when path = node then '' else substr(path, length(node) + 2) end as field, type, v from (
+            select *, case when suffix(path, ']') or path = 'data' then path else coalesce(nullif(regexp_extract(path, '^(.*\])\.', 1), ''), 'data') end as node
+            from tr where type not in ('OBJECT', 'ARRAY'))
+          union all select 'headers', 'name', 'VARCHAR', k from hd union all select 'headers', 'value', case when v is null then 'NULL' else 'VARCHAR' end, v from hd)"""
 
 _MID = canonical_sql("msg_id")
 SQL = {
+    "p1_found": f"""
+        with {_BODIES}
+        select request_id, cast(event_no as int) as event_no, node as node_path, parent as parent_path from nd
+        union all select request_id, cast(event_no as int), 'headers.' || k, 'headers' from hd""",
+    "p1_groups": f"""
+        with {_BODIES}
+        select grp, field, count(*) as n, count(*) filter (where type = 'VARCHAR') as n_string, count(*) filter (where type in ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE')) as n_number,
+          count(*) filter (where type = 'BOOLEAN') as n_boolean, count(*) filter (where type = 'NULL') as n_null from cells group by 1, 2""",
+    "p1_tables": f"""
+        with {_BODIES}, f as (select grp, field, count(v) as n_values, cast(coalesce(sum(length(v)), 0) as bigint) as n_chars from cells group by 1, 2)
+        select grp, field, n_rows, coalesce(n_values, 0) as n_values, coalesce(n_chars, 0) as n_chars from grps left join f using (grp)""",
+    "p1_items": rf"""
+        with {_BODIES}, i as (select request_id, event_no, node as node_path, parent as parent_path from nd where regexp_full_match(node, 'data\.items\[\d+\]')),
+        c as (select request_id, event_no, regexp_extract(path, '^(.*\])\.', 1) as node_path, substr(path, length(regexp_extract(path, '^(.*\])\.', 1)) + 2) as field, v
+              from tr where regexp_full_match(path, 'data\.items\[\d+\]\.(sku|qty|quantity)') and type not in ('OBJECT', 'ARRAY'))
+        select i.*, max(v) filter (where field = 'sku') as sku, max(v) filter (where field = 'qty') as qty, max(v) filter (where field = 'quantity') as quantity
+        from i left join c using (request_id, event_no, node_path) group by all""",
     "p3_found": f"""
         select delivery_id from (
           select delivery_id, row_number() over (partition by mid, consumer_id order by attempt nulls last, delivered_at nulls last, delivery_id nulls last) rn

@@ -2,6 +2,8 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from streamroute.operators import drift, nested
 
@@ -13,7 +15,7 @@ def bodies(spark, texts):
 
 
 def found(spark, texts):
-    rows = nested.node_links(nested.triples(bodies(spark, texts), nodes_only=True)).collect()
+    rows = nested.node_links(nested.nodes(bodies(spark, texts))).collect()
     return sorted(tuple(r) for r in rows)
 
 
@@ -41,28 +43,97 @@ def test_empty_table_and_very_long_and_deep_bodies(spark):
     long = json.dumps({"data": {"text": "x" * 2_000_000, "rows": [{"i": i} for i in range(3000)]}})
     assert len(found(spark, [long])) == 3000
     deep = '{"data": ' + '{"a": [' * 3000 + "1" + "]}" * 3000 + "}"
-    rows = nested.events_of(deep)
-    assert sum(1 for t in nested.walk(rows[0][2]) if t[4] == "object") == 2999
+    rows = nested.stream_events(deep)[0].data
+    assert sum(1 for t in rows if t[4] == "object") == 2999 and rows[-1][1] == "data" + ".a[0]" * 3000
+    assert nested.dumps(nested.parse(deep)).count("[") == 3000
 
 
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, false, null, "\\u00e9\\n"], "b": {}}', "[]", "[[], {}]", ' { "x" : [ ] } ', '"s"', "12"])
-def test_the_iterative_parser_agrees(text):
-    assert nested._parse_deep(text) == json.loads(text)
+def test_the_token_stream_agrees(text):
+    plain = lambda v: {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else json.loads(v) if isinstance(v, nested.Number) else v
+    for tree in (nested._tree(nested.tokens(text)), nested.parse(text), nested._tree(nested._spelled(nested.parse(text))), nested.parse(nested.dumps(nested.parse(text)))):
+        assert plain(tree) == json.loads(text)
 
 
-@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "tru", '"a', "01", "1 2", "{1:2}", '["\t"]'])
-def test_the_iterative_parser_refuses_what_is_no_json(text):
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "tru", '"a', "01", "1 2", "{1:2}", '["\t"]', '{"a":1]', '[1}', '{"a":1 "b":2}', "]", ",", '{"a":NaN}', '{"a":1}}', '{,}', '{"a"}', '{"a\n":1}', "[,1]", '{"a":,}'])
+def test_the_token_stream_refuses_what_is_no_json(text):
     with pytest.raises(ValueError):
-        nested._parse_deep(text)
+        list(nested.tokens(text))
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=5), x, max_size=4), max_leaves=20)
+
+
+def by_walking(data):
+    """Rows of a tree by plain recursion."""
+    out = []
+
+    def go(v, g, p, node, field, element):
+        if isinstance(v, dict):
+            if element:
+                node, field = (g, p, node[1]), ""
+                out.append((*node, "", "object", None))
+            for k, x in v.items():
+                go(x, f"{g}.{k}", f"{p}.{k}", node, f"{field}.{k}" if field else k, False)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                go(x, g + "[]", f"{p}[{i}]", node, field + "[]", True)
+        else:
+            out.append((g, p, node[1], "", nested.kind_of(v), nested.text_of(v)) if element else (*node, field, nested.kind_of(v), nested.text_of(v)))
+
+    go(data, "data", "data", ("data",) * 3, "", False)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON.filter(lambda v: isinstance(v, (dict, list))), st.sampled_from([None, 1]), st.booleans())
+def test_the_stream_gives_what_a_walk_of_the_tree_gives(data, indent, twice):
+    body = json.dumps({"topic": "t", "data": data}, indent=indent)
+    if twice:  # a key given twice: the last counts
+        body = '{"topic": "u", "data": [{"x": 1}], ' + body.strip()[1:]
+    (event,) = nested.stream_events(body)
+    assert event.topic == "t" and event.data[0][4] == "root"
+    assert event.data[1:] == by_walking(nested.parse(json.dumps(data)))
+
+
+def test_digits_and_halves_of_surrogate_pairs_are_kept_or_marked(spark):
+    long = "9" * 6000
+    body = '{"data": {"n": ' + long + ', "d": 1.50, "e": 1e999, "bad\\ud800": "x\\udc00y", "l": [{"k\\ud800": 1}]}, "headers": {"h": {"a": 1.50}, "\\ud800": "v"}}'
+    got = {r["node_path"]: (r["fields"], r["kinds"]) for r in nested.nodes(bodies(spark, [body])).collect()}
+    fields, kinds = got["data"]
+    assert fields == {"n": long, "d": "1.50", "e": "1e999", "bad?": "x?y"} and kinds == {"n": "number", "d": "number", "e": "number", "bad?": "string"}
+    assert got["headers.h"][0] == {"name": "h", "value": '{"a":1.50}'} and got["headers.?"][0]["value"] == "v"
+    assert drift.file_statistics(bodies(spark, ['{"topic": "t", "data": {"a\\ud800": "\\ud800", "b": 1' + "0" * 400 + "}}"])).count() > 0
+    assert drift.path_values(bodies(spark, ['{"topic": "t", "data": {"a\\ud800": "\\ud800"}}'])).collect()[0]["value"] == "?"
 
 
 def test_flat_tables_keep_links_and_values(spark):
     body = {"data": {"id": "o1", "items": [{"sku": "s", "qty": 2}, {"sku": None}], "tags": ["p", "q"]}, "headers": {"h": "v"}}
-    t = nested.flat_tables(bodies(spark, [json.dumps(body)]))
-    assert set(t) == {"data", "data.items[]", "data.tags[]", "headers"}
+    got = nested.flat_tables(bodies(spark, [json.dumps(body)]))
+    t = got.tables
+    assert set(t) == {"data", "data.items[]", "data.tags[]", "headers"} and got.rest.count() == 0
     items = {r["node_path"]: (r["parent_path"], r["sku"], r["qty"]) for r in t["data.items[]"].collect()}
     assert items == {"data.items[0]": ("data", "s", "2"), "data.items[1]": ("data", None, None)}
     assert [r["value"] for r in t["data.tags[]"].orderBy("node_path").collect()] == ["p", "q"]
+    assert [(r["name"], r["value"]) for r in t["headers"].collect()] == [("h", "v")]
+
+
+def test_fields_whose_names_would_clash_keep_columns_of_their_own(spark, tmp_path):
+    body = {"data": {"a.b": 1, "a_b": 2, "A_B": 3, "a": {"b": 4}, "node_path": 5, "value": 6, "é": 7}}
+    t = nested.flat_tables(bodies(spark, [json.dumps(body), "{}"])).tables["data"]
+    t.write.parquet(f"{tmp_path}/t")
+    assert len({c.lower() for c in t.columns}) == len(t.columns) == 4 + 7
+    assert sorted(v for v in t.drop(*nested.LINKS).collect()[0]) == ["1", "2", "3", "4", "5", "6", "7"]
+    assert t.collect()[0]["a_b"] == "2"
+
+
+def test_keys_that_are_data_lose_nothing(spark):
+    texts = [json.dumps({"data": {"users": {f"u{i}": [{"n": i}]}, f"k{i}": i}}) for i in range(40)]
+    got = nested.flat_tables(bodies(spark, texts), max_groups=5, max_fields=10)
+    assert len(got.tables) == 5 and "data" not in got.tables
+    profile = {(r["grp"], r["field"]): (r["n_rows"], r["n_values"]) for r in nested.table_profiles(got).collect()}
+    assert profile == {**{("data", f"k{i}"): (1, 1) for i in range(40)}, **{(f"data.users.u{i}[]", "n"): (1, 1) for i in range(40)}}
+    assert nested.table_profiles(nested.flat_tables(bodies(spark, texts).limit(0))).count() == 0
 
 
 def event(topic, **data):
@@ -159,3 +230,14 @@ def test_large_vocabularies_of_different_formats_are_no_rename(spark):
     batch = lambda make: json.dumps({"events": [{"topic": "t", "data": {k: f() for k, f in make.items()}} for _ in range(2000)]})
     rows = [("g", f, batch({name: make})) for f, name, make in ((1, "a", mail), (2, "b", path), (3, "c", path)) for _ in range(10)]
     assert report(spark, rows) == [("t", 2, "added", "b", ""), ("t", 2, "removed", "a", ""), ("t", 3, "renamed", "b", "c")]
+
+
+def test_values_that_differ_only_late_are_of_different_kinds(spark):
+    head = "x" * 300
+    rows = [("g", 1, event("t", a=f"{head}-{i}:{'q' * i}")) for i in range(1, 21)] + [("g", 2, event("t", b=f"{head}/{'z' * i}/{i}/w")) for i in range(1, 21)]
+    assert {x[2] for x in report(spark, rows)} == {"added", "removed"}
+
+
+def test_keys_that_are_data_are_no_fields(spark):
+    rows = [("g", f, event("t", a=i, **{f"id{f}_{i}": 1})) for f in (1, 2) for i in range(30)]
+    assert report(spark, rows) == []
