@@ -38,6 +38,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.file_statistics(table(spark, d, "raw_requests")))
 
 
+def p2_path_types(spark: SparkSession, d: str) -> DataFrame:
+    """How many events of a gateway's topic and file carry a path, and with which types."""
+    st = drift.file_statistics(table(spark, d, "raw_requests"))
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("stat") == s, F.col("n"))), F.lit(0))
+    kept = st.where("path <> '' and (stat = 'has' or startswith(stat, 'type:'))")
+    return kept.groupBy("gateway_id", "topic", "file_no", "path").agg(n("has").alias("n_events"), *[n(f"type:{k}").alias(f"n_{k}") for k in ("string", "number", "boolean")])
+
+
 def p2_casts(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "raw_requests")
     return drift.cast_report(drift.consistent_values(requests, drift.changes(drift.file_statistics(requests))))
@@ -71,6 +79,16 @@ def p3_new_batches(spark: SparkSession, d: str) -> DataFrame:
     return fresh.select("delivery_id", "message", "consumer")
 
 
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All deliveries in three runs, each against the identifiers that the runs before have stored: rows kept a run."""
+    rows = table(spark, d, "deliveries").select("delivery_id", "batch_no", "attempt", "delivered_at", "consumer_id", canonical_id("msg_id").alias("mid"))
+    third = F.least(F.floor(F.col("batch_no") * 3 / F.greatest(F.lit(1), rows.select(F.max("batch_no") + 1).scalar())), F.lit(2)).cast("int")
+    rows = rows.withColumn("run", F.coalesce(third, F.lit(0)))
+    store = dedup.SeenStore(spark, f"{shared_dir(spark)}/seen-ids-{uuid.uuid4().hex}", [F.col("mid"), F.col("consumer_id")], _arrival(), ["message", "consumer"])
+    kept = [store.take(i, rows.where(F.col("run") == i)).select("run", "delivery_id", "message", "consumer") for i in range(3)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.records_since(table(spark, d, "wal_records"), table(spark, d, "replica_marks"))
 
@@ -118,7 +136,7 @@ def p5_topic_stats(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ids.withColumnRenamed("topic", "t"), F.col("topic").eqNullSafe(F.col("t"))).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_tables, p1_items, p2_found, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_tables, p1_items, p2_found, p2_path_types, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p3_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
 
 #: Events of the bodies, their data, and every value in it with its path (keys without their quotes).
 _BODIES = r"""
@@ -168,6 +186,17 @@ SQL = {
               from tr where regexp_full_match(path, 'data\.items\[\d+\]\.(sku|qty|quantity)') and type not in ('OBJECT', 'ARRAY'))
         select i.*, max(v) filter (where field = 'sku') as sku, max(v) filter (where field = 'qty') as qty, max(v) filter (where field = 'quantity') as quantity
         from i left join c using (request_id, event_no, node_path) group by all""",
+    "p2_path_types": f"""
+        with {_BODIES}, own as (
+          select gateway_id, js->>'$.topic' as topic, file_no, request_id, event_no from dt join raw_requests using (request_id)
+          where json_type(js, '$.topic') = 'VARCHAR' and json_type(data) = 'OBJECT' and gateway_id is not null and file_no is not null),
+        v as (
+          select distinct request_id, event_no, regexp_replace(substr(path, 6), '\\[\\d+\\]', '[]', 'g') as path,
+            case when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' else 'number' end as kind
+          from tr where type not in ('OBJECT', 'ARRAY', 'NULL') and path <> 'data')
+        select gateway_id, topic, file_no, path, count(distinct (request_id, event_no)) as n_events, count(*) filter (where kind = 'string') as n_string,
+          count(*) filter (where kind = 'number') as n_number, count(*) filter (where kind = 'boolean') as n_boolean
+        from own join v using (request_id, event_no) group by 1, 2, 3, 4""",
     "p3_found": f"""
         select delivery_id from (
           select delivery_id, row_number() over (partition by mid, consumer_id order by attempt nulls last, delivered_at nulls last, delivery_id nulls last) rn
@@ -183,6 +212,10 @@ SQL = {
         select delivery_id, mid as message, consumer_id as consumer from n
         where (rn = 1 or mid is null or consumer_id is null)
           and not exists (select 1 from r o where o.batch_no <= (select c from cut) and o.mid = n.mid and o.consumer_id = n.consumer_id)""",
+    "p3_batches": f"""
+        with r as (select *, {_MID} as mid, coalesce(cast(least(floor(batch_no * 3 / greatest(1, (select max(batch_no) + 1 from deliveries))), 2) as int), 0) as run from deliveries),
+        n as (select *, row_number() over (partition by mid, consumer_id order by run, attempt nulls last, delivered_at nulls last, delivery_id nulls last) rn from r)
+        select run, delivery_id, mid as message, consumer_id as consumer from n where rn = 1 or mid is null or consumer_id is null""",
     "p4_found": """
         with ok as (select *, row_number() over (partition by follower_id, shard order by run_no desc, last_segment desc, last_offset desc, confirmed_at desc) rn
                     from replica_marks where status = 'ok' and last_segment is not null and last_offset is not null),
