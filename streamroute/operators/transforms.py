@@ -1,7 +1,9 @@
 """Declarative payload transforms: set, remove, rename, copy and default, in order, on a copy of the payload.
 
 For payloads with a declared struct type the operations become native struct expressions; for dynamic payloads (JSON
-text) one vectorised pass applies the whole list.
+text) one Arrow-batched pass applies the whole list. What it gives is always valid JSON: numbers keep their digits as
+written (1e999 and the like too), halves of surrogate pairs stay escaped. Texts that are no JSON (NaN and Infinity are
+none) come out as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamroute.operators.nested import _spelled, _tree, dumps, parse, text_of
+
+#: First part of paths into the headers instead of the payload.
+HEADERS = "\0headers"
+
 
 @dataclass(frozen=True)
 class Op:
@@ -32,10 +39,13 @@ _MOVE = re.compile(r"\s*([\w.]+)\s*->\s*([\w.]+)\s*\Z")
 
 def op(kind: str, text: str, root_alias: str = "payload") -> Op:
     """Text form: ``set``/``default`` take ``path = value`` (JSON or a single-quoted string), ``rename``/``copy`` take
-    ``a -> b``, ``remove`` takes ``path``. A leading ``payload.`` is stripped."""
+    ``a -> b``, ``remove`` takes ``path``. A leading ``payload.`` is stripped; a leading ``headers.`` means the headers
+    where there are any, else the payload's field of that name."""
 
     def path(s: str) -> tuple[str, ...]:
         parts = tuple(s.split("."))
+        if len(parts) > 1 and parts[0] == "headers":
+            return (HEADERS, *parts[1:])
         return parts[1:] if len(parts) > 1 and parts[0] == root_alias else parts
 
     if kind in ("set", "default"):
@@ -43,6 +53,7 @@ def op(kind: str, text: str, root_alias: str = "payload") -> Op:
             raise ValueError(f"expected path = value: {text}")
         raw = m[2]
         value = raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] == "'" else json.loads(raw)
+        json.dumps(value, allow_nan=False)  # an error here rather than in every row
         return Op(kind, path(m[1]), value)
     if kind in ("rename", "copy"):
         if not (m := _MOVE.match(text)):
@@ -81,36 +92,51 @@ def _put(data: object, path: tuple[str, ...], value: object) -> None:
         at[path[-1]] = value
 
 
-def apply_ops(data: object, ops: list[Op]) -> object:
-    """Apply to a Python value in place (the caller hands in a copy)."""
+def _plain(path: tuple[str, ...]) -> tuple[str, ...]:
+    return ("headers", *path[1:]) if path and path[0] == HEADERS else path
+
+
+def apply_ops(data: object, ops: list[Op], headers: dict | None = None) -> object:
+    """Apply to a Python value in place (the caller hands in a copy). headers: the map that paths into the headers mean."""
+
+    def at(path: tuple[str, ...]) -> tuple[object, tuple[str, ...]]:
+        if path and path[0] == HEADERS and headers is not None:
+            return headers, (".".join(path[1:]),)
+        return data, _plain(path)
+
     for o in ops:
-        if o.kind == "set" or o.kind == "default" and _get(data, o.path) is _NONE:
-            _put(data, o.path, json.loads(json.dumps(o.value)))
-        elif o.kind == "remove" and (at := _parent(data, o.path)) is not None:
-            at.pop(o.path[-1], None)
-        elif o.kind in ("rename", "copy") and (v := _get(data, o.path)) is not _NONE:
+        root, path = at(o.path)
+        if o.kind == "set" or o.kind == "default" and _get(root, path) is _NONE:
+            _put(root, path, _tree(_spelled(o.value)))
+        elif o.kind == "remove" and (holder := _parent(root, path)) is not None:
+            holder.pop(path[-1], None)
+        elif o.kind in ("rename", "copy") and (v := _get(root, path)) is not _NONE:
             if o.kind == "rename":
-                _parent(data, o.path).pop(o.path[-1])
-            else:
-                v = json.loads(json.dumps(v))
-            _put(data, o.to, v)
+                _parent(root, path).pop(path[-1])
+            _put(*at(o.to), _tree(_spelled(v)))
     return data
 
 
+def transformed(text: str | None, ops: list[Op], headers: list | None = None) -> tuple[str | None, list | None]:
+    """A payload's JSON text and its headers (pairs) after the operations; null and invalid payloads, and their headers,
+    as they were."""
+    if text is None or not ops:
+        return text, headers
+    try:
+        data = parse(text)
+    except ValueError:
+        return text, headers
+    top = None if headers is None else dict(headers)
+    out = dumps(apply_ops(data, ops, top))
+    return out, None if top is None else [(k, dumps(v) if isinstance(v, (dict, list)) else text_of(v)) for k, v in top.items()]
+
+
 def transform_json(payload: Column, ops: list[Op]) -> Column:
     """JSON text in, JSON text out; null and invalid payloads come out as they are."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            try:
-                return json.dumps(apply_ops(json.loads(t), ops), separators=(",", ":"), ensure_ascii=False)
-            except (ValueError, RecursionError):
-                return t
-
-        return texts.map(one, na_action="ignore")
+        return texts.map(lambda t: transformed(t, ops)[0], na_action="ignore")
 
     return run(payload)
 

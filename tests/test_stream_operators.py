@@ -30,6 +30,54 @@ def test_transforms_on_values_and_in_spark(spark):
         op("set", "nothing")
 
 
+def test_transformed_payloads_are_always_valid_json(spark):
+    texts = ['{"n":12345678901234567890.123,"e":1e999,"z":1.50,"i":' + "7" * 5000 + "}", '{"n":NaN}', '{"n":Infinity}', None, "", '{"n":"\\ud800","é\\udc00":"ü"}', '{"a":1,"a":2}', "[" * 3000 + "]" * 3000, '{"n":null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    ops = [op("copy", "n -> m"), op("set", "x = 0.5")]
+    got = {r["i"]: r["o"] for r in df.select("i", transforms.transform_json(F.col("j"), ops).alias("o")).collect()}
+    assert got[0] == texts[0][:-1] + ',"m":12345678901234567890.123,"x":0.5}'
+    assert [got[i] for i in (1, 2, 3, 4, 7)] == [texts[i] for i in (1, 2, 3, 4, 7)]
+    assert json.loads(got[5]) == {"n": "\ud800", "é\udc00": "ü", "m": "\ud800", "x": 0.5} and got[6] == '{"a":2,"x":0.5}' and got[8] == '{"n":null,"m":null,"x":0.5}'
+    with pytest.raises(ValueError):
+        op("set", "x = 1e999")
+
+
+def test_transforms_reach_the_headers(spark):
+    rows = [(1, "t", '{"id": 7.0, "o": {"a": 1}}', {"k": "v"}, "mine"), (2, "t", "no json", {"k": "v"}, None), (3, "t", '{"id": 8}', None, None)]
+    df = spark.createDataFrame(rows, "id int, topic string, body string, headers map<string,string>, rule string").withColumn("data", F.expr("try_parse_json(body)"))
+    rules = [routing.Rule("r", "*", [routing.Target("s")], transforms=[op("copy", "payload.id -> headers.id"), op("copy", "o -> headers.o"), op("remove", "headers.k"), op("rename", "id -> headers.x.y")])]
+    got = {r["id"]: (r["body"], r["headers"], r["rule"]) for r in routing.apply_rules(df, rules, VariantFields("data"), payload_json="body", headers="headers").collect()}
+    assert got[1] == ('{"o":{"a":1}}', {"id": "7.0", "o": '{"a":1}', "x.y": "7.0"}, "r") and got[2] == ("no json", {"k": "v"}, "r")
+    assert json.loads(got[3][0]) == {"headers": {"id": 8, "x": {"y": 8}}} and got[3][1] is None
+
+
+def test_rules_meet_only_the_topics_they_match(spark):
+    df = spark.createDataFrame([(i, t, f'{{"v":{i}}}') for i, t in enumerate(["a.b", "a.c", "x", None])], "id int, topic string, body string").withColumn("data", F.expr("try_parse_json(body)"))
+    rules = [routing.Rule(f"r{i}", p, [routing.Target("s")], where=w) for i, (p, w) in enumerate([("a.*", "v >= 1"), (">", None), ("*.b", "v >= 1"), ("a.>", "v >= 0")])]
+    out = routing.apply_rules(df, rules, VariantFields("data"))
+    assert sorted((r["id"], r["rule"]) for r in out.collect()) == [(0, "r1"), (0, "r3"), (1, "r0"), (1, "r1"), (1, "r3"), (2, "r1")]
+    plan = out._jdf.queryExecution().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_once_per_consumer_keeps_events_without_ids(spark):
+    df = spark.createDataFrame([(None, "a.b", 1), (None, "a.b", 2), ("m", "a.b", 3), ("m", "a.b", 4), (None, "z", 5)], "msg_id string, topic string, n int")
+    subs = [{"sub_id": "s1", "consumer_id": "c", "pattern": ">"}, {"sub_id": "s2", "consumer_id": "c", "pattern": "a.*", "filter": "n > 1"}, {"sub_id": "s3", "consumer_id": None, "pattern": "a.b"}, {"sub_id": "s4", "consumer_id": None, "pattern": ">", "filter": "n == 5"}]
+    fields = StructFields(df.schema)
+    got = sorted((r["n"], r["sub_id"]) for r in routing.deliver(df, subs, fields, once_per_consumer=True).collect())
+    assert got == [(1, "s1"), (1, "s3"), (2, "s1"), (2, "s3"), (3, "s1"), (3, "s3"), (4, "s1"), (4, "s3"), (5, "s1"), (5, "s4")]
+    assert routing.deliver(df, subs, fields).count() == 5 + 3 + 4 + 1
+
+
+def test_replies_at_the_edges_of_spans(spark):
+    t = dt.datetime(2024, 1, 1)
+    s = lambda n: t + dt.timedelta(seconds=n)
+    asked = spark.createDataFrame([("q0", "in", s(0)), ("q59", "in", s(59)), ("q60", "in", s(60)), ("qn", None, s(0)), ("qt", "in", None)], "msg_id string, reply_to string, at timestamp_ntz")
+    told = spark.createDataFrame([("r0", "in", s(0)), ("r60", "in", s(60)), ("r119", "in", s(119)), ("r120", "in", s(120)), ("rx", "out", s(1)), ("rn", "in", None)], "msg_id string, topic string, at timestamp_ntz")
+    got = sorted((r["msg_id"], r["reply_id"]) for r in routing.request_replies(asked, told, 60).collect())
+    assert got == [("q0", "r0"), ("q0", "r60"), ("q59", "r119"), ("q59", "r60"), ("q60", "r119"), ("q60", "r120"), ("q60", "r60")]
+
+
 def test_struct_transforms_match_dynamic_ones(spark):
     schema = "struct<a:int,o:struct<b:string>>"
     df = spark.createDataFrame([((1, ("x",)),), ((None, None),)], f"data {schema}")
