@@ -6,9 +6,15 @@ New batches are anti-joined against the identifiers stored by earlier ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from streamroute.operators.bloom import Bloom
+from streamroute.session import children, join_small, materialize, written
+
 
 def _salts(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -69,6 +75,71 @@ def fresh_rows(batch: DataFrame, stored: DataFrame, keys: list[Column], order: l
     return first.join(stored.select(*names), names, "left_anti")
 
 
+MODES = ("memory", "balanced", "durable")
+
+
+def _repeats_in_batch(batches: Iterator) -> Iterator:
+    """Before the shuffle: which rows repeat a key of their Arrow batch. They are spread by their number."""
+    import pyarrow as pa
+
+    for batch in batches:
+        h, seq = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        order = np.lexsort((seq, h))
+        again = np.zeros(len(h), bool)
+        again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, seq, again, np.where(again, seq, h))], names=["h", "seq", "again", "lane"])
+
+
+def tiered(df: DataFrame, key: Column, seq: str, mode: str = "durable", capacity: int = 1_000_000, rate: float = 0.001) -> DataFrame:
+    """df plus `status`, stored or duplicate, in the order of `seq` (unique, integer).
+
+    First tier: keys are hash-partitioned to Bloom filters of `capacity` keys at `rate`, which tell surely new keys from
+    those that may have been seen. In the modes 'memory' and 'balanced' that is all: what may have been seen is a
+    duplicate, so at most about `rate` of the new rows are lost. In 'durable' the second tier, the first number of
+    each key, is asked for these rows only, and nothing is lost. Rows without key or number are stored.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    own = df.withColumn("__key", key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = own.where(F.col("__key").isNotNull() & F.col(seq).isNotNull()).select(F.xxhash64("__key").alias("h"), F.col(seq).cast("bigint").alias("seq"))
+    lanes = ids.mapInArrow(_repeats_in_batch, "h bigint, seq bigint, again boolean, lane bigint").repartition(parts, "lane")
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bloom = None
+        for batch in batches:
+            bloom = bloom or Bloom(capacity, rate)
+            h, seqs, maybe = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, maybe = h.astype(np.int64).view(np.uint64), maybe.astype(bool).copy()
+            at = np.flatnonzero(~maybe)
+            first = np.zeros(len(at), bool)
+            first[np.unique(h[at], return_index=True)[1]] = True
+            maybe[at] = bloom.may_contain(h[at]) | ~first
+            bloom.insert(h[at[~maybe[at]]])
+            yield pa.RecordBatch.from_arrays([pa.array(seqs), pa.array(maybe)], names=["__seq", "__maybe"])
+
+    asked = materialize(lanes.sortWithinPartitions("seq", "h").mapInArrow(ask, "__seq bigint, __maybe boolean"), "bloom-answers")
+    out = own.join(asked, F.col(seq) == F.col("__seq"), "left").drop("__seq").withColumn("__maybe", F.coalesce("__maybe", F.lit(False)))
+    if mode == "durable":
+        unsure = out.where("__maybe").select("__key").distinct()
+        firsts = join_small(own.select("__key", F.col(seq).alias("__n")), unsure, ["__key"], "left_semi").groupBy("__key").agg(F.min("__n").alias("__first"))
+        out = join_small(out, firsts, ["__key"], "left")
+        out = out.withColumn("__maybe", F.col("__maybe") & (F.col(seq) != F.col("__first"))).drop("__first")
+    return out.withColumn("status", F.when(F.col("__maybe"), "duplicate").otherwise("stored")).select(*[F.col(f"`{c}`") for c in df.columns if c != "status"], "status")
+
+
+def checks_before_inserts(df: DataFrame, key: Column, batch: str) -> DataFrame:
+    """df plus `status` as a pipeline gives it that checks a whole batch before it inserts any of it: rows of a key's
+    first batch are all stored, copies within it too; rows of later batches are duplicates. Rows without key or batch
+    are stored. (keep_first and mark_copies don't have that hole.)"""
+    own = df.withColumn("__key", key)
+    first = own.where("__key is not null").groupBy("__key").agg(F.min(batch).alias("__first"))
+    late = F.coalesce(F.col(batch) > F.col("__first"), F.lit(False))
+    return join_small(own, first, ["__key"], "left").withColumn("status", F.when(late, "duplicate").otherwise("stored")).select(*[F.col(f"`{c}`") for c in df.columns if c != "status"], "status")
+
+
 class SeenStore:
     """Identifiers seen so far, one folder a batch, in a shared path.
 
@@ -80,13 +151,8 @@ class SeenStore:
         self.spark, self.path, self.keys, self.order, self.names = spark, path.rstrip("/"), keys, order, names
 
     def stored(self, before: int) -> DataFrame | None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return None
-        paths = [s.getPath().toString() for s in fs.listStatus(at) if s.getPath().getName().startswith("batch=")]
-        done = [p for p in paths if int(p.rpartition("=")[2]) < before and fs.exists(jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS"))]
+        names = [n for n in children(self.spark, self.path) if n.startswith("batch=") and int(n[6:]) < before]
+        done = [f"{self.path}/{n}" for n in names if written(self.spark, f"{self.path}/{n}")]
         return self.spark.read.parquet(*done).select(*self.names) if done else None
 
     def take(self, batch_no: int, df: DataFrame) -> DataFrame:

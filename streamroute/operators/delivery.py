@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamroute.operators.topics import match_topics, most_specific
+from streamroute.session import join_small
+
 KEY = ["msg_id", "consumer_id"]
 
 
@@ -77,3 +80,26 @@ def message_state(deliveries: DataFrame, most: int = 5) -> DataFrame:
 def sdk_retry_delay_ms(attempt: Column, base: int = 100) -> Column:
     """Publisher's delay before try `attempt` + 1 (attempt counts from 0)."""
     return F.lit(base) * F.pow(F.lit(2.0), attempt)
+
+
+def redeliveries(failed: DataFrame, overrides: DataFrame, most: int = 5, counting: str = "code", initial: float = 1.0, maximum: float = 60.0, multiplier: float = 2.0) -> DataFrame:
+    """Failed deliveries (topic, attempt, failed_at) with what follows: decision ('retry' or 'dlq'), the next attempt's
+    number and its time `due_at` (both null for dlq). overrides: pattern, most: a topic's limit is that of its most
+    specific pattern, else `most`."""
+    limits = most_specific(match_topics(failed, overrides.select(F.col("pattern").alias("__pattern"), F.col("most").alias("__most")), "topic", "__pattern"), ["topic"], "__pattern")
+    out = join_small(failed, limits.select("topic", "__most"), ["topic"], "left")
+    decision = decide(F.col("attempt"), F.coalesce("__most", F.lit(most)), counting)
+    due = F.col("failed_at") + F.make_dt_interval(secs=backoff_seconds(F.col("attempt") + 1, initial, maximum, multiplier))
+    again = decision == "retry"
+    out = out.withColumns({"decision": decision, "next_attempt": F.when(again, F.col("attempt") + 1), "due_at": F.when(again, due)})
+    return out.drop("__most")
+
+
+def live_subscriptions(last_seen: DataFrame, now: Column, hours: float = 168, at: str = "seen_at") -> DataFrame:
+    """Subscriptions seen within the time; those never seen (null) have no age and stay."""
+    return last_seen.where(F.col(at).isNull() | (F.col(at) >= now - F.make_dt_interval(secs=F.lit(float(hours) * 3600))))
+
+
+def reconnect_delay_seconds(attempt: Column, initial: float = 1.0, maximum: float = 30.0, tries: int = 10) -> Column:
+    """A client's delay before reconnection `attempt` (from 1): doubled up to a maximum, null once all tries are used."""
+    return F.when(attempt <= tries, F.least(F.lit(initial) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))), F.lit(maximum)))

@@ -62,9 +62,21 @@ def ema(df: DataFrame, keys: list[str], order: list[str], sample: str, name: str
     return ordered_fold(df, keys, order, lambda: 0, step, [T.StructField(name, T.LongType())])
 
 
-def admitted(df: DataFrame, ema_column: str = "ema", threshold: int = 50_000, name: str = "accepted") -> DataFrame:
-    """Accepted while the average before this row is below the threshold (the caller shifts it)."""
-    return df.withColumn(name, F.coalesce(F.col(ema_column), F.lit(0)) < F.lit(threshold))
+def admitted(df: DataFrame, keys: list[str], order: list[str], sample: str, threshold: int = 50_000, latching: bool = True, name: str = "accepted") -> DataFrame:
+    """Is a row accepted: is the moving average before it below the threshold? With `latching` a refused row gives no
+    sample, so that once the average is over the threshold nothing is accepted any more; without it the average goes on
+    and so may recover. Null samples leave the state."""
+
+    def step(state: int, cols: dict) -> tuple[int, list]:
+        out = np.empty(len(cols[sample]), bool)
+        for i, x in enumerate(cols[sample]):
+            out[i] = state < threshold
+            if x == x and x is not None and (out[i] or not latching):
+                x = int(x)
+                state = x if state == 0 else (state * 9 + x) // 10
+        return state, [out]
+
+    return ordered_fold(df, keys, order, lambda: 0, step, [T.StructField(name, T.BooleanType())])
 
 
 def token_bucket(df: DataFrame, keys: list[str], order: list[str], millis: str, rate: float, burst: float, name: str = "allowed") -> DataFrame:
@@ -86,16 +98,17 @@ def token_bucket(df: DataFrame, keys: list[str], order: list[str], millis: str,
     return ordered_fold(df, keys, order, lambda: (float(burst), None), step, [T.StructField(name, T.BooleanType())])
 
 
-def last_ids(df: DataFrame, keys: list[str], order: list[str], ident: str, capacity: int = 10_000, name: str = "is_new") -> DataFrame:
+def last_ids(df: DataFrame, keys: list[str], order: list[str], ident: str, capacity: int = 10_000, name: str = "is_new", handled: str | None = None) -> DataFrame:
     """True where the id isn't among the key's last `capacity` accepted ids (first in, first out; a hit doesn't
-    refresh). Null ids are new and aren't kept."""
+    refresh). Null ids are new and aren't kept. An id is kept before its handler runs; with the boolean column `handled`
+    only if the handler succeeded, so that a rejected event is new again when it is sent again."""
     from collections import OrderedDict
 
     def step(kept: OrderedDict, cols: dict) -> tuple[OrderedDict, list]:
         out = np.empty(len(cols[ident]), bool)
         for i, x in enumerate(cols[ident]):
             out[i] = x is None or x not in kept
-            if out[i] and x is not None:
+            if out[i] and x is not None and (handled is None or cols[handled][i] is True or cols[handled][i] == True):  # noqa: E712
                 if len(kept) >= capacity:
                     kept.popitem(last=False)
                 kept[x] = None

@@ -36,3 +36,11 @@ def assign(events: DataFrame, members: DataFrame, order: str, group: str = "grp"
     n = F.size("members")
     at = F.when(keyed.isNotNull(), F.pmod(stable_hash(keyed), n)).otherwise(F.pmod(F.col("__rn") - 1, n))
     return with_list.withColumn("member", F.when(n > 0, F.get(F.col("members"), at.cast("int")))).drop("__rn", "__turn", "__key", "members")
+
+
+def members_after(log: DataFrame, order: str, group: str = "grp", member: str = "consumer_id", op: str = "op") -> DataFrame:
+    """Members of each group after a log of joins ('add') and leaves ('remove'): a member's last entry counts; `joined` is
+    its place in the order."""
+    rows = log.where(F.col(group).isNotNull() & F.col(member).isNotNull())
+    last = rows.groupBy(group, member).agg(F.max_by(op, order).alias("__op"), F.max(order).alias("joined"))
+    return last.where(F.col("__op") == "add").drop("__op")

@@ -34,3 +34,17 @@ def last_n(df: DataFrame, n: int, seq: str, keys: list[str] | None = None) -> Da
         return df.orderBy(F.col(seq).desc_nulls_last()).limit(n)
     w = Window.partitionBy(*keys).orderBy(F.col(seq).desc_nulls_last())
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+
+
+def by_priority(df: DataFrame, keys: list[str], priority: str, seq: str, name: str = "rn", block: int = BLOCK) -> DataFrame:
+    """df plus the position of each row among its keys' rows when higher priorities go first and equal ones by `seq`. Null
+    priorities go last. Rows are numbered per priority, and offset by the counts of the higher ones (few rows)."""
+    level = df.withColumn("__p", F.coalesce(F.col(priority), F.lit(-(2**31))))
+    own = number_rows(level, [*keys, "__p"], seq, "__own", block)
+    counts = level.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    above = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"__q_{k}") for k in keys], F.col("__p").alias("__q"), above.alias("__above"))
+    on = F.col("__p") == F.col("__q")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__q_{k}"))
+    return own.join(offsets, on, "left").withColumn(name, F.col("__above") + F.col("__own")).drop("__p", "__q", "__own", "__above", *[f"__q_{k}" for k in keys])

@@ -88,3 +88,14 @@ def place(topics: DataFrame, ring: HashRing, replicas: int = 0, topic: str = "to
     below = F.size(F.filter("points", lambda p: p < F.col("__h")))
     found = keyed.join(F.broadcast(slices), "slice").select(topic, F.get("nodes", below).alias("owners"))
     return join_small(topics, found, [topic], "left")
+
+
+def nodes_after(events: DataFrame, order: str, node: str = "node", event: str = "event") -> DataFrame:
+    """Nodes of a ring after a log of topology events: joined and recovered add, dead removes, others change nothing.
+    changes: how often the node really came or went."""
+    from pyspark.sql import Window
+
+    real = events.where(F.col(node).isNotNull() & F.col(event).isin("joined", "recovered", "dead")).withColumn("__in", F.col(event) != "dead")
+    was = F.coalesce(F.lag("__in").over(Window.partitionBy(node).orderBy(order)), F.lit(False))
+    steps = real.withColumn("__new", (F.col("__in") != was).cast("bigint"))
+    return steps.groupBy(node).agg(F.max_by("__in", order).alias("in_ring"), F.sum("__new").alias("changes"))

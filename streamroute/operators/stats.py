@@ -83,8 +83,8 @@ def topic_metadata(events: DataFrame, subscriptions: DataFrame, topic: str = "to
 
 def membership(reports: DataFrame, now: Column, suspect_s: float = 5, dead_s: float = 30) -> DataFrame:
     """State per member from its reports (member, incarnation, state, at): the highest incarnation's latest report
-    counts; 'alive' turns into 'suspect' and 'dead' when it is older than the limits."""
-    last = reports.where("member is not null").groupBy("member").agg(F.max_by(F.struct("state", "at"), F.struct("incarnation", "at")).alias("r"))
+    counts (of equal ones the greatest state's name); 'alive' turns into 'suspect' and 'dead' when it is older than the limits."""
+    last = reports.where("member is not null").groupBy("member").agg(F.max_by(F.struct("state", "at"), F.struct("incarnation", "at", "state")).alias("r"))
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("r.at").cast("timestamp"))
     state = F.when(F.col("r.state") == "dead", "dead").when(age > F.lit(int(dead_s * 1e6)), "dead").when((F.col("r.state") == "suspect") | (age > F.lit(int(suspect_s * 1e6))), "suspect").otherwise("alive")
     return last.select("member", state.alias("state"))
@@ -93,3 +93,84 @@ def membership(reports: DataFrame, now: Column, suspect_s: float = 5, dead_s: fl
 def spread_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows, mean and standard deviation per key (the shape of alert rules)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"))
+
+
+def sliding_rate(df: DataFrame, at: str, by: list[str], width: str = "5 minutes", slide: str = "1 minute", seconds: float = 300) -> DataFrame:
+    """Events a second over sliding windows: window_end, keys, n and rate. A row counts in every window that covers it."""
+    w = F.window(F.col(at).cast("timestamp"), width, slide)
+    g = df.where(F.col(at).isNotNull()).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.end").cast("timestamp_ntz").alias("window_end"), *by, "n", (F.col("n") / F.lit(float(seconds))).alias("rate"))
+
+
+def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Cumulative bucket counts: keys, le (infinity last) and n, the rows whose value is at most le. Null values count
+    nowhere. One row a key is shuffled, its counts side by side."""
+    edges = [*bounds, float("inf")]
+    v = F.col(value)
+    g = df.where(v.isNotNull()).groupBy(*by).agg(*[F.count_if(v <= F.lit(float(b))).alias(f"__le{i}") for i, b in enumerate(edges)])
+    pairs = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"__le{i}").alias("n")) for i, b in enumerate(edges)])
+    return g.select(*by, F.explode(pairs).alias("b")).select(*by, "b.le", "b.n")
+
+
+def histogram_quantile(buckets: DataFrame, by: list[str], q: float, name: str = "quantile") -> DataFrame:
+    """The q-quantile of cumulative buckets, linear within the bucket that holds it (the first one begins at 0); the largest
+    finite bound where it lies beyond."""
+    lists = buckets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("le", "n"))).alias("b"))
+    rank = F.lit(float(q)) * F.element_at("b", -1)["n"]
+    i = F.array_position(F.transform("b", lambda x: x["n"] >= F.col("rank")), True)
+    at = lists.withColumn("rank", rank).withColumn("i", i.cast("int"))
+    low = F.when(F.col("i") > 1, F.try_element_at("b", F.col("i") - 1)["le"]).otherwise(0.0)
+    before = F.when(F.col("i") > 1, F.try_element_at("b", F.col("i") - 1)["n"]).otherwise(0)
+    hit = F.try_element_at("b", F.col("i"))
+    inside = low + (hit["le"] - low) * (F.col("rank") - before) / (hit["n"] - before)
+    return at.select(*by, F.when(hit["le"] == float("inf"), low).otherwise(inside).alias(name))
+
+
+def load_test(results: DataFrame, by: list[str], ok: Column, latency: str, at: str) -> DataFrame:
+    """Per key: requests, ok and failed ones, error rate, requests a second from the first to the last, and least, mean
+    and largest latency of the ok ones."""
+    span = (F.unix_micros(F.max(F.col(at).cast("timestamp"))) - F.unix_micros(F.min(F.col(at).cast("timestamp")))) / 1e6
+    lat = F.when(ok, F.col(latency))
+    return results.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_error"),
+        (F.count_if(~F.coalesce(ok, F.lit(False))) / F.count(F.lit(1))).alias("error_rate"), F.try_divide(F.count(F.lit(1)), span).alias("per_second"),
+        F.min(lat).alias("least"), F.avg(lat).alias("mean"), F.max(lat).alias("most"),
+    )
+
+
+def saturating_counts(ops: DataFrame, by: list[str], seq: str, delta: Column, block: int = 1 << 18) -> DataFrame:
+    """What counters hold that go up and down in the order of `seq` but never below 0: keys and n.
+
+    A run of steps is known by its sum and its lowest prefix; these states combine in order. They are made per block of
+    numbers, so a key that holds most rows is spread over its blocks.
+    """
+    cut = ops.where(F.col(seq).isNotNull()).withColumn("__d", F.coalesce(delta.cast("bigint"), F.lit(0))).withColumn("__b", F.floor(F.col(seq) / F.lit(block)))
+    run = F.sum("__d").over(Window.partitionBy(*by, "__b").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    parts = cut.withColumn("__run", run).groupBy(*by, "__b").agg(F.sum("__d").alias("__sum"), F.min("__run").alias("__low"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low = parts.withColumn("__low", before + F.col("__low")).groupBy(*by).agg(F.sum("__sum").alias("__sum"), F.min("__low").alias("__low"))
+    return low.select(*by, (F.col("__sum") - F.least(F.lit(0), F.col("__low"))).alias("n"))
+
+
+def cluster_counts(deliveries: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: deliveries in flight and dead-lettered, group members, ring nodes (rows of tables that are kept by key)."""
+    n = deliveries.agg(F.count_if(F.col("state") == "in_flight").alias("in_flight"), F.count_if(F.col("state") == "dlq").alias("dead_lettered"))
+    return n.select("*", members.select(F.count(F.lit(1))).scalar().alias("members"), nodes.select(F.count(F.lit(1))).scalar().alias("nodes"))
+
+
+def pending_deliveries(written: DataFrame, targets: DataFrame, completed: DataFrame, key: str = "msg_id", consumer: str = "consumer_id") -> DataFrame:
+    """What a recovery has to deliver again: written messages times their targets (key, consumer) without those that the
+    consumer itself has completed. Null keys and consumers are no delivery."""
+    wanted = targets.where(F.col(key).isNotNull() & F.col(consumer).isNotNull()).select(key, consumer).distinct()
+    done = completed.where(F.col(key).isNotNull() & F.col(consumer).isNotNull()).select(key, consumer).distinct()
+    return written.join(wanted, key).join(done, [key, consumer], "left_anti")
+
+
+def metrics_text(df: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """One text line a row, as scrapers read it: name{label="value",...} value. Quotes, backslashes and line ends in label
+    values are escaped; null labels are left out."""
+    pairs = []
+    for c in labels:
+        text = F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+        pairs.append(F.concat(F.lit(f'{c}="'), text, F.lit('"')))
+    return df.select(F.concat(F.lit(name + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string")).alias("line"))

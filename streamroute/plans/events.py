@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamroute.functions.msgid import canonical_id, canonical_sql
 from streamroute.operators import delivery, folds, groups, numbering, ring, routing, stats, topics, transforms
 from streamroute.operators.filters import StructFields, VariantFields, compile_filter
 from streamroute.operators.skew import index_percentiles
@@ -245,8 +246,8 @@ def dedup_status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consumer_fifo_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "deliveries").select("consumer_id", "delivery_id", "msg_id")
-    return folds.last_ids(e, ["consumer_id"], ["delivery_id"], "msg_id", 100).groupBy("consumer_id").agg(F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_known"))
+    e = table(spark, d, "deliveries").select("consumer_id", "delivery_id", canonical_id("msg_id").alias("mid"))
+    return folds.last_ids(e, ["consumer_id"], ["delivery_id"], "mid").groupBy("consumer_id").agg(F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_known"))
 
 
 def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +294,7 @@ def inflight_timeouts(spark: SparkSession, d: str) -> DataFrame:
 
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
     a = _tracked(spark, d).groupBy("attempt").agg(F.count(F.lit(1)).alias("n"))
-    return a.select("attempt", "n", delivery.backoff_seconds(F.col("attempt")).alias("delay_s"), delivery.sdk_retry_delay_ms(F.col("attempt")).alias("publish_delay_ms"))
+    return a.select("attempt", "n", delivery.backoff_seconds(F.col("attempt")).alias("delay_s"), delivery.sdk_retry_delay_ms(F.col("attempt")).alias("publish_delay_ms"), delivery.reconnect_delay_seconds(F.col("attempt"), tries=4).alias("reconnect_s"))
 
 
 def dlq_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -330,11 +331,15 @@ def replay_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recovery_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Written messages without a completion by the consumer that their replay would go to."""
-    r = stats.readable(table(spark, d, "wal_records")).where("msg_id is not null")
-    written = r.where("rec_type = 'event_write'").select("shard", "msg_id").distinct()
-    done = r.where("rec_type = 'completion'").select("msg_id").distinct()
-    return written.join(done, "msg_id", "left_anti").groupBy("shard").agg(F.count(F.lit(1)).alias("n_pending"))
+    """Written messages times the consumers they go to (those that read the shard, and those of the deliveries) without
+    what the consumer itself completed."""
+    r = stats.readable(table(spark, d, "wal_records")).withColumn("msg_id", canonical_id("msg_id"))
+    written = r.where("rec_type = 'event_write' and msg_id is not null").select("shard", "msg_id").distinct()
+    done = r.where("rec_type = 'completion'").select("shard", "msg_id", "consumer_id")
+    readers = join_small(written, done.where("consumer_id is not null").select("shard", "consumer_id").distinct(), ["shard"])
+    targets = table(spark, d, "deliveries").select(canonical_id("msg_id").alias("msg_id"), "consumer_id").unionByName(readers.select("msg_id", "consumer_id"))
+    left = stats.pending_deliveries(written, targets, done)
+    return left.groupBy("shard", "consumer_id").agg(F.count(F.lit(1)).alias("n_pending"), F.count_distinct("msg_id").alias("n_messages"))
 
 
 def wal_shard_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -404,7 +409,7 @@ def request_reply_join(spark: SparkSession, d: str) -> DataFrame:
 def position_replay(spark: SparkSession, d: str) -> DataFrame:
     """Subscriptions at 'latest' get only what came after they began; the others everything."""
     m = table(spark, d, "pub_messages").select("ingest_seq", "msg_id", "topic")
-    half = m.agg(F.max("ingest_seq").alias("m")).collect()[0]["m"] or 0
+    half = m.agg(F.max("ingest_seq").alias("m")).first()["m"] or 0
     subs = [{**s, "pattern": s["topic_pattern"], "position": s["start_at"], "since": half // 2} for s in routing.collect_subscriptions(table(spark, d, "subscriptions"))]
     got = routing.deliver(m, subs, StructFields(T.StructType([])), seq="ingest_seq")
     return got.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"), F.min("ingest_seq").alias("first_seq"))
@@ -418,13 +423,13 @@ def batch_atomicity(spark: SparkSession, d: str) -> DataFrame:
 
 def gateway_publishes(spark: SparkSession, d: str) -> DataFrame:
     got = gateway.publishes(table(spark, d, "raw_requests"))
-    return got.groupBy("status", F.coalesce("topic", F.lit("")).alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.count("headers").alias("n_headers"))
+    return got.groupBy("status", F.coalesce("topic", F.lit("")).alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("headers")).alias("n_headers"))
 
 
 def consumers_once(spark: SparkSession, d: str) -> DataFrame:
     """One copy a consumer instead of one a subscription."""
-    subs = [{"sub_id": s, "consumer_id": c, "pattern": p} for s, c, p in PATTERNS]
-    got = routing.deliver(envelope(spark, d), subs, StructFields(T.StructType([])), once_per_consumer=True)
+    subs = [{**s, "pattern": s["topic_pattern"]} for s in routing.collect_subscriptions(table(spark, d, "subscriptions"))]
+    got = routing.deliver(table(spark, d, "pub_messages").select("ingest_seq", "msg_id", "topic"), subs, StructFields(T.StructType([])), once_per_consumer=True)
     return got.groupBy("consumer_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -458,7 +463,8 @@ def most_specific_match(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
     """Followers as members, their marks as reports, a second after the last one of all."""
-    r = table(spark, d, "replica_marks").where("confirmed_at is not null").select(F.col("follower_id").alias("member"), F.lit(0).alias("incarnation"), F.lit("alive").alias("state"), F.col("confirmed_at").alias("at"))
+    state = F.when(F.col("status") == "failed", "suspect").when(F.col("status") == "timeout", "dead").otherwise("alive")
+    r = table(spark, d, "replica_marks").where("confirmed_at is not null").select(F.col("follower_id").alias("member"), (F.col("run_no") % 3).alias("incarnation"), state.alias("state"), F.col("confirmed_at").alias("at"))
     now = r.select(F.max("at") + F.expr("interval 1 second")).scalar()
     return stats.membership(r, now, 3600, 86_400)
 
@@ -481,6 +487,8 @@ QUERIES = {
 }
 
 
+from streamroute.plans.broker import _BODIES  # noqa: E402
+
 # SQL --------------------------------------------------------------------------------------------------------------
 
 _EV = """ev as (select event_id as ingest_seq, cast(event_id as varchar) as msg_id, 'event.' || event_type || '.u' || cast(user_id % 10 as varchar) as topic,
@@ -569,6 +577,10 @@ SQL = {
         value as total, 1 as deep, user_id % 100 as uid, cast(null as varchar) as tags from ev""",
     "dedup_first_wins": _DUP + " select ingest_seq, msg_id from r where rn = 1",
     "dedup_status_counts": _DUP + " select case when rn = 1 then 'stored' else 'duplicate' end as status, count(*) as n, cast(sum(ingest_seq) as bigint) as sum_seq from r group by 1",
+    # the filter's 10,000 ids hold all of a consumer's at the scale at which this is compared
+    "consumer_fifo_dedup": f"""with n as (select consumer_id, case when mid is null then 1 else row_number() over (partition by consumer_id, mid order by delivery_id) end rn
+        from (select consumer_id, delivery_id, {canonical_sql("msg_id")} as mid from deliveries))
+        select consumer_id, count(*) filter (where rn = 1) as n_new, count(*) filter (where rn > 1) as n_known from n group by 1""",
     "group_round_robin": f"""with {_EV}, {_GRP}, q as (select *, row_number() over (partition by grp order by ingest_seq) rn from g)
         select ingest_seq, grp, case when n > 0 then 'm' || cast((rn - 1) % n as varchar) end as member from q join n using (grp)""",
     "group_partition_key": f"""with {_EV}, {_GRP}, q as (select *, row_number() over (partition by grp, pkey is null order by ingest_seq) rn from g)
@@ -576,7 +588,7 @@ SQL = {
     "ack_pending": f"with {_EV}, {_TR}, {_ACK} select msg_id, consumer_id, attempt from d where not exists (select 1 from a where a.msg_id = d.msg_id and a.consumer_id = d.consumer_id and status <> 'rejected')",
     "inflight_timeouts": f"""with {_EV}, {_TR}, {_ACK} select msg_id, consumer_id from d where delivered_at < timestamp '2024-01-10 00:00:00' - interval 30 seconds
         and not exists (select 1 from a where a.msg_id = d.msg_id and a.consumer_id = d.consumer_id and status <> 'rejected' and acked_at <= timestamp '2024-01-10 00:00:00')""",
-    "backoff_schedule": f"with {_EV}, {_TR} select attempt, count(*) as n, cast(least(pow(2, greatest(attempt - 1, 0)), 60) as double) as delay_s, cast(100 * pow(2, attempt) as double) as publish_delay_ms from d group by attempt",
+    "backoff_schedule": f"with {_EV}, {_TR} select attempt, count(*) as n, cast(least(pow(2, greatest(attempt - 1, 0)), 60) as double) as delay_s, cast(100 * pow(2, attempt) as double) as publish_delay_ms, case when attempt <= 4 then cast(least(pow(2, greatest(attempt - 1, 0)), 30) as double) end as reconnect_s from d group by attempt",
     "dlq_decision": f"with {_EV}, {_TR} select attempt, case when attempt + 1 >= 5 then 'dlq' else 'retry' end as by_code, case when attempt >= 5 then 'dlq' else 'retry' end as by_docs, count(*) as n from d group by 1, 2, 3",
     "dlq_topics": f"with {_EV}, {_TR} select 'dlq.' || topic as dlq_topic, count(*) as n, max(attempt) as most_attempts from d where attempt + 1 >= 5 group by 1",
     "dlq_replay": f"with {_EV}, {_TR} select msg_id, consumer_id, topic, 1 as attempt from d where attempt + 1 >= 5 and delivered_at >= timestamp '2024-01-25 00:00:00' - interval 168 hours",
@@ -590,8 +602,12 @@ SQL = {
         from g where segment < (select max(segment) from g h where h.shard = g.shard)""",
     "replay_summary": f"""with {_READ} select w.shard, max(w.segment) as last_segment, (select count(*) from ok where ok.shard = w.shard) as record_count,
         (select count(distinct msg_id) from ok where ok.shard = w.shard and rec_type = 'event_write') as n_event_ids from wal_records w group by 1""",
-    "recovery_pending": f"""with {_READ} select shard, count(distinct msg_id) as n_pending from ok where rec_type = 'event_write' and msg_id is not null
-        and msg_id not in (select msg_id from ok where rec_type = 'completion' and msg_id is not null) group by 1""",
+    "recovery_pending": f"""with {_READ}, o as (select shard, rec_type, consumer_id, {canonical_sql("msg_id")} as mid from ok),
+        w as (select distinct shard, mid from o where rec_type = 'event_write' and mid is not null),
+        t as (select {canonical_sql("msg_id")} as mid, consumer_id from deliveries where consumer_id is not null union
+          select w.mid, c.consumer_id from w join (select distinct shard, consumer_id from o where rec_type = 'completion' and consumer_id is not null) c using (shard))
+        select shard, t.consumer_id, count(*) as n_pending, count(distinct w.mid) as n_messages from w join t using (mid)
+        where not exists (select 1 from o where o.rec_type = 'completion' and o.mid = w.mid and o.consumer_id = t.consumer_id) group by 1, 2""",
     "wal_shard_counts": f"select cast(coalesce({_H.format('topic')} % 8, 0) as int) as shard, count(*) as n, count(distinct topic) as n_topics from pub_messages group by 1",
     "ring_owner": _ring_sql(0, "owner"),
     "ring_replicas": _ring_sql(2, "owners"),
@@ -618,15 +634,23 @@ SQL = {
     "position_replay": f"""with {_PUB_SUB} select sub_id, count(*) as n, min(ingest_seq) as first_seq from pub_messages m join s on regexp_full_match(m.topic, s.rx)
         where coalesce(start_at, '') <> 'latest' or ingest_seq > (select max(ingest_seq) // 2 from pub_messages) group by 1""",
     "batch_atomicity": "select batch_no, count(*) as n, bool_and(msg_id is not null and coalesce(topic <> '', false)) as whole from pub_messages group by 1",
-    "consumers_once": f"with {_EV}, {_subs()} select consumer_id, count(distinct msg_id) as n from ev join subs on regexp_full_match(topic, rx) group by 1",
+    "gateway_publishes": f"""with {_BODIES}, e as (select *, case when json_type(js, '$.topic') = 'VARCHAR' then js->>'$.topic' end as topic,
+          case when json_type(js, '$.headers') = 'OBJECT' then len(json_keys(js, '$.headers')) else 0 end as h from ev where json_type(js) = 'OBJECT'),
+        u as (select case when coalesce(topic, '') <> '' then 'stored' else 'error 4000' end as status, coalesce(topic, '') as topic, h from e
+          union all select 'error 4000', '', 0 from raw_requests where body is null or not json_valid(body) or json_type(body) <> 'OBJECT' or regexp_matches(body, '(NaN|Infinity)'))
+        select status, topic, count(*) as n, cast(sum(h) as bigint) as n_headers from u group by 1, 2""",
+    "consumers_once": f"with {_PUB_SUB} select consumer_id, count(distinct ingest_seq) as n from pub_messages m join s on regexp_full_match(m.topic, s.rx) group by 1",
     "message_running_number": "select ingest_seq, topic, row_number() over (partition by topic order by ingest_seq) as rn from pub_messages",
     "topic_metadata": f"""with {_PUB_SUB} select topic, count(*) as n_messages, count(distinct service_id) as n_publishers, max(arrived_at) as last_at,
         (select count(distinct sub_id) from s where regexp_full_match(m.topic, s.rx)) as n_subscribers from pub_messages m where topic is not null group by topic""",
     "most_specific_match": f"""with {_EV}, {_OR}, {_subs()}, t as (select topic from ev union select topic from ord),
         r as (select topic, pattern, sub_id, row_number() over (partition by topic order by contains(pattern, '>'), len(pattern) - len(replace(pattern, '*', '')), len(pattern) desc, pattern) rn from t join subs on regexp_full_match(topic, rx))
         select topic, pattern, sub_id from r where rn = 1""",
-    "cluster_membership": """with l as (select follower_id as member, max(confirmed_at) as seen_at from replica_marks where confirmed_at is not null and follower_id is not null group by 1),
+    "cluster_membership": """with r as (select follower_id as member, run_no % 3 as incarnation, case status when 'failed' then 'suspect' when 'timeout' then 'dead' else 'alive' end as state, confirmed_at
+          from replica_marks where confirmed_at is not null and follower_id is not null),
+        l as (select *, row_number() over (partition by member order by incarnation desc nulls last, confirmed_at desc, state desc) rn from r),
         n as (select max(confirmed_at) + interval 1 second as t from replica_marks)
-        select member, case when epoch_us(t) - epoch_us(seen_at) > 86400000000 then 'dead' when epoch_us(t) - epoch_us(seen_at) > 3600000000 then 'suspect' else 'alive' end as state from l, n""",
+        select member, case when state = 'dead' or epoch_us(t) - epoch_us(confirmed_at) > 86400000000 then 'dead' when state = 'suspect' or epoch_us(t) - epoch_us(confirmed_at) > 3600000000 then 'suspect' else 'alive' end as state
+        from l, n where rn = 1""",
     "value_spread": f"with {_EV} select event_type, count(*) as n, round(avg(round(value)), 6) as mean, round(stddev_samp(round(value)), 6) as stddev from ev group by 1",
 }

@@ -7,19 +7,19 @@ corruption stops that segment only.
 from __future__ import annotations
 
 import json
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from streamroute.sources.crc32c import crc32c
-from streamroute.sources.msgpack import to_json_value, unpack
+from streamroute.sources.crc32c import crc32c, crc32c_many
+from streamroute.sources.msgpack import pack, to_json_value, unpack
 
 # fixed values of the file formats
 SEGMENT_MAGIC, FRAME_MAGIC, VERSION = b"PLWL", b"\x50\x4c", 1
@@ -62,22 +62,24 @@ def scan_segment(data: bytes) -> Scan:
     magic, version, segment, _ = SEGMENT_HEADER.unpack_from(data)
     if magic != SEGMENT_MAGIC or version != VERSION:
         return Scan(None, [], 0, "header")
-    at, records = SEGMENT_HEADER.size, []
-    while True:
+    at, heads, why = SEGMENT_HEADER.size, [], "end"
+    while at < len(data):
         left = len(data) - at
-        if left < 4:
-            return Scan(segment, records, at, "end" if left == 0 else "truncated")
-        (size,) = struct.unpack_from(">I", data, at)
-        if size < RECORD_LEAST:
-            return Scan(segment, records, at, "corrupt")
-        if size > left:
-            return Scan(segment, records, at, "truncated")
-        body, (crc,) = data[at : at + size - 4], struct.unpack_from(">I", data, at + size - 4)
-        _, kind, ident = RECORD_HEAD.unpack_from(body)
-        if crc32c(body) != crc or kind not in RECORD_TYPES:
-            return Scan(segment, records, at, "corrupt")
-        records.append((at, size, RECORD_TYPES[kind], ident.hex(), body[RECORD_HEAD.size :]))
+        size = struct.unpack_from(">I", data, at)[0] if left >= 4 else RECORD_LEAST
+        if size < RECORD_LEAST or size > left:
+            why = "corrupt" if size < RECORD_LEAST else "truncated"
+            break
+        heads.append((at, size))
         at += size
+    # lengths first, then all checksums at once; what follows a bad one isn't trusted
+    sums = crc32c_many([data[a : a + n - 4] for a, n in heads])
+    records = []
+    for (a, n), crc in zip(heads, sums.tolist()):
+        _, kind, ident = RECORD_HEAD.unpack_from(data, a)
+        if struct.unpack_from(">I", data, a + n - 4)[0] != crc or kind not in RECORD_TYPES:
+            return Scan(segment, records, a, "corrupt")
+        records.append((a, n, RECORD_TYPES[kind], ident.hex(), bytes(data[a + RECORD_HEAD.size : a + n - 4])))
+    return Scan(segment, records, at, why)
 
 
 def scan_frames(data: bytes, max_payload: int = MAX_PAYLOAD) -> Iterator[tuple[int, str, int, str, bytes, str]]:
@@ -110,6 +112,44 @@ def payload_json(data: bytes) -> str | None:
         return None
 
 
+def packed(text: Column) -> Column:
+    """JSON text as MessagePack bytes, null where it is none or holds an integer that has no such form."""
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bytes | None:
+            try:
+                return None if t is None else pack(json.loads(t))
+            except (ValueError, RecursionError, UnicodeEncodeError):
+                return None
+
+        return texts.map(one)
+
+    return run(text)
+
+
+def unpacked(data: Column) -> Column:
+    """MessagePack bytes as JSON text (payload_json)."""
+    @F.pandas_udf("string")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else payload_json(bytes(b)))
+
+    return run(data)
+
+
+def frames_of(messages: DataFrame, name: Column, order: str) -> DataFrame:
+    """Messages (frame_type, flags, msg_id as hex digits, payload binary) as captured byte streams: name, content, its frames
+    by `order`. The messages of one stream go to one task, as a connection's do."""
+    codes = {v: k for k, v in FRAME_TYPES.items()}
+
+    def run(pdf):
+        rows = pdf.sort_values("o")
+        body = b"".join(encode_frame(codes[t], f, bytes.fromhex(i), bytes(p)) for t, f, i, p in zip(rows["frame_type"], rows["flags"], rows["msg_id"], rows["payload"]))
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "content": [body]})
+
+    slim = messages.select(name.cast("string").alias("name"), F.col(order).alias("o"), "frame_type", F.col("flags").cast("int").alias("flags"), "msg_id", "payload")
+    return slim.where("name is not null and msg_id is not null and payload is not null").groupBy("name").applyInPandas(run, "name string, content binary")
+
+
 @dataclass
 class _Segment(InputPartition):
     path: str
@@ -131,20 +171,32 @@ class WalSource(DataSource):
         return WalReader(self.options.get("path", ""))
 
 
+def file_system(path: str) -> tuple:
+    """(file system, path) of a URI or a local path, by Arrow: local, HDFS and the object stores it knows."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path or path.startswith("/") else re.sub(r"^file:", "", path))
+
+
+_SEGMENT = re.compile(r"shard-(\d+)/segment-(\d+)\.wal\Z")
+
+
 class WalReader(DataSourceReader):
     def __init__(self, path: str):
-        self.root = re.sub(r"^file:(//)?", "", path)
+        self.root = re.sub(r"^file:/(?!//)", "file:///", path)
 
     def partitions(self) -> list[_Segment]:
-        out = []
-        for p in sorted(Path(self.root).glob("shard-*/segment-*.wal")):
-            out.append(_Segment(str(p), int(p.parent.name.rpartition("-")[2]), int(p.stem.rpartition("-")[2])))
-        return out or [_Segment("", 0, 0)]
+        from pyarrow.fs import FileSelector
+
+        fs, root = file_system(self.root)
+        found = sorted(f.path for f in fs.get_file_info(FileSelector(root, recursive=True, allow_not_found=True)))
+        return [_Segment(p, int(m[1]), int(m[2])) for p in found if (m := _SEGMENT.search(p))] or [_Segment("", 0, 0)]
 
     def read(self, partition: _Segment) -> Iterator[tuple]:
         if not partition.path:
             return
-        scan = scan_segment(Path(partition.path).read_bytes())
+        with file_system(self.root)[0].open_input_file(partition.path) as f:
+            scan = scan_segment(f.read())
         for at, size, kind, ident, data in scan.records:
             done = kind == "completion"
             yield partition.shard, partition.segment, at, size, kind, ident, data.decode("utf-8", "replace") if done else None, None if done else data
@@ -156,8 +208,6 @@ def read_wal_files(files: DataFrame) -> DataFrame:
     schema = WalSource({}).schema()
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -171,15 +221,70 @@ def read_wal_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def read_frames(captures: DataFrame, max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """Frames of captured byte streams (columns name and content): name, frame_offset, frame_type, flags, msg_id, payload
+    and code (the error of a broken frame, after which its stream isn't read on)."""
+    schema = "name string, frame_offset bigint, frame_type string, flags int, msg_id string, payload binary, code string"
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(n, *f) for n, c in zip(pdf["name"], pdf["content"]) if c is not None for f in scan_frames(bytes(c), max_payload)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return captures.select(F.col("name").cast("string"), "content").mapInPandas(run, schema)
+
+
 def write_segment(root: str, shard: int, segment: int, records: list[tuple[int, bytes, bytes]], created_ms: int = 0) -> str:
-    """A segment file from (type, id, data); returns its path."""
-    path = os.path.join(root, f"shard-{shard:02d}", f"segment-{segment:06d}.wal")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as f:
-        f.write(encode_header(segment, created_ms) + b"".join(encode_record(*r) for r in records))
+    """A segment file from (type, id, data); returns its path. It appears whole, by a rename."""
+    return _put(root, shard, segment, encode_header(segment, created_ms) + b"".join(encode_record(*r) for r in records))
+
+
+def _put(root: str, shard: int, segment: int, content: bytes) -> str:
+    fs, at = file_system(root)
+    folder = f"{at.rstrip('/')}/shard-{shard:02d}"
+    path = f"{folder}/segment-{segment:06d}.wal"
+    fs.create_dir(folder, recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(content)
+    fs.move(part, path)
     return path
 
 
+WRITTEN = "shard int, segment int, n_records bigint, n_bytes bigint"
+
+
+def write_log(records: DataFrame, root: str, segment_bytes: int = 64 << 20, first: int = 1) -> DataFrame:
+    """Append records (shard int, seq bigint, rec_type, msg_id as hex digits, data binary) to the shards' logs: a shard in
+    the order of seq by one task, a new segment where the next record wouldn't fit. Gives the segments written; calling
+    an action on it writes them, and again the same ones if a task is repeated. `first`: number of the first segment."""
+    codes, head = {v: k for k, v in RECORD_TYPES.items()}, SEGMENT_HEADER.size
+
+    def run(batches):
+        done, shard, number, buffer, size, n = [], None, first, [], 0, 0
+
+        def close() -> None:
+            if buffer:
+                _put(root, shard, number, encode_header(number, 0) + b"".join(buffer))
+                done.append((shard, number, n, size))
+
+        for pdf in batches:
+            for s, kind, ident, data in zip(pdf["shard"], pdf["rec_type"], pdf["msg_id"], pdf["data"]):
+                record = encode_record(codes[kind], bytes.fromhex(ident), bytes(data))
+                fresh = s != shard
+                if fresh or size + len(record) > segment_bytes:
+                    close()
+                    number, buffer, size, n = (first if fresh else number + 1), [], head, 0
+                    shard = int(s)
+                buffer.append(record)
+                size, n = size + len(record), n + 1
+        close()
+        yield pd.DataFrame(done, columns=["shard", "segment", "n_records", "n_bytes"])
+
+    rows = records.where("shard is not null and msg_id is not null and data is not null").select("shard", "seq", "rec_type", "msg_id", "data")
+    return rows.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, WRITTEN)
+
+
 def with_shard(events: DataFrame, shards: int, topic: str = "topic") -> DataFrame:
     """events plus the shard of their topic (stable hash modulo the number of shards; null topics go to shard 0)."""
     from streamroute.operators.groups import stable_hash

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from streamroute.session import shared_dir
+from streamroute.session import children, shared_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -38,10 +38,37 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         w = stream.writeStream.foreachBatch(replace).outputMode(mode)
     q = w.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    try:
-        return spark.read.schema(schema).parquet(f"{base}/out")
-    except Exception:  # nothing was ever written
+    return read_batches(spark, f"{base}/out", schema, last=mode == "complete")
+
+
+def read_batches(spark: SparkSession, path: str, schema, last: bool = False) -> DataFrame:
+    """What a stream wrote to a folder (or to one folder a batch); with `last` only its last batch, which in complete mode
+    holds the whole result. Empty where nothing was written."""
+    names = children(spark, path)
+    batches = sorted((n for n in names if n.startswith("batch=")), key=lambda n: int(n[6:]))
+    if not names:
         return spark.createDataFrame([], schema)
+    if batches:
+        return spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in (batches[-1:] if last else batches)])
+    return spark.read.schema(schema).parquet(path)
+
+
+def keep_first_available(stream: DataFrame, keys: list, order: list, names: list[str]) -> DataFrame:
+    """Exactly the first arrival of each key: micro-batches in their order, rows of one batch by `order`. Every batch is
+    set against the identifiers that earlier ones stored in the shared folder; a batch that is repeated gives the same
+    rows. Unlike the watermark form it forgets nothing."""
+    from streamroute.operators.dedup import SeenStore
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = SeenStore(spark, f"{base}/ids", keys, order, names)
+
+    def take(df: DataFrame, batch: int) -> None:
+        store.take(batch, df).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    sink_batches(stream, take, f"{base}/checkpoint").awaitTermination()
+    schema = stream.withColumns(dict(zip(names, keys))).schema
+    return read_batches(spark, f"{base}/out", schema)
 
 
 def dedup(stream: DataFrame, key: str, at: str, keep: str = "7 days") -> DataFrame:
@@ -69,22 +96,56 @@ def route_stream(events: DataFrame, subscriptions: DataFrame, topic: str = "topi
     return keyed.join(p, on).drop(*on)
 
 
+def fold_stream(stream: DataFrame, key: str, seq: str, columns: list[str], out: str, state: str, start: tuple, step: Callable) -> DataFrame:
+    """An ordered fold per key, its state carried across micro-batches. step(state, row) gives (state, output tuple); rows
+    are those of `columns` (numbers), in each micro-batch by `seq`. A key's rows of one micro-batch are sorted in one task;
+    the source's limit a trigger bounds them."""
+    names = ["k", "seq", *[c.split()[0] for c in out.split(", ")]]
+
+    def update(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else start
+        pdf = pd.concat(list(parts)).sort_values("seq")[["seq", *[f"c{i}" for i in range(len(columns))]]]
+        rows = []
+        for n, *values in pdf.itertuples(index=False):
+            now, got = step(now, [None if v is None or v != v else v for v in values])
+            rows.append((k[0], n, *got))
+        held.update(now)
+        yield pd.DataFrame(rows, columns=names)
+
+    slim = stream.select(F.col(key).alias("k"), F.col(seq).cast("bigint").alias("seq"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    return slim.groupBy("k").applyInPandasWithState(update, f"k string, seq bigint, {out}", state, "append", GroupStateTimeout.NoTimeout)
+
+
 def ema_stream(stream: DataFrame, key: str, seq: str, sample: str) -> DataFrame:
-    """Integer moving average per key over the rows of each micro-batch in order, carried across batches in state."""
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(parts)).sort_values("seq")
-        out = []
-        for x in pdf["sample"]:
-            if x == x and x is not None:
-                now = int(x) if now == 0 else (now * 9 + int(x)) // 10
-            out.append(now)
-        state.update((now,))
-        yield pd.DataFrame({"k": k[0], "seq": pdf["seq"], "ema": out})
-
-    slim = stream.select(F.col(key).alias("k"), F.col(seq).cast("bigint").alias("seq"), F.col(sample).cast("bigint").alias("sample"))
-    return slim.groupBy("k").applyInPandasWithState(update, "k string, seq bigint, ema bigint", "now bigint", "append", GroupStateTimeout.NoTimeout)
+    """Integer moving average per key (folds.ema)."""
+
+    def step(now: tuple, row: list) -> tuple:
+        (x,) = row
+        at = now[0] if x is None else int(x) if now[0] == 0 else (now[0] * 9 + int(x)) // 10
+        return (at,), (at,)
+
+    return fold_stream(stream, key, seq, [sample], "ema bigint", "now bigint", (0,), step)
+
+
+def token_bucket_stream(stream: DataFrame, key: str, seq: str, millis: str, rate: float, burst: float) -> DataFrame:
+    """Token bucket per key (folds.token_bucket)."""
+
+    def step(now: tuple, row: list) -> tuple:
+        (tokens, last), (t,) = now, row
+        last = None if last < 0 else last
+        if t is not None:
+            if last is not None and t > last:
+                tokens = min(burst, tokens + (t - last) * rate / 1000.0)
+            last = t if last is None else max(last, t)
+        ok = tokens >= 1.0
+        return (tokens - ok, -1.0 if last is None else last), (ok,)
+
+    return fold_stream(stream, key, seq, [millis], "allowed boolean", "tokens double, last double", (float(burst), -1.0), step)
+
+
+def turns_stream(stream: DataFrame, key: str, seq: str) -> DataFrame:
+    """The running number of each row within its key, from 0: whose turn it is in a group is that modulo its members."""
+    return fold_stream(stream, key, seq, [], "turn bigint", "n bigint", (0,), lambda now, row: ((now[0] + 1,), (now[0],)))
 
 
 def ack_timeouts(deliveries: DataFrame, acks: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:

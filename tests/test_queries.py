@@ -21,9 +21,9 @@ def con():
 
 
 def core() -> list[str]:
-    from streamroute.plans import broker, events, streams
+    from streamroute.plans import broker, events, lifecycle, streams
 
-    return [*broker.QUERIES, *events.QUERIES, *streams.QUERIES]
+    return [*broker.QUERIES, *events.QUERIES, *lifecycle.QUERIES, *streams.QUERIES]
 
 
 @pytest.mark.parametrize("name", core())
