@@ -34,6 +34,8 @@ SAME_FORMS, SAME_NUMBERS, SAME_RANGE = 0.25, 0.5, 1.6
 SAME_VOCABULARY, CLEAR = 0.3, 0.6
 #: Least share of common fields for a topic to be another one renamed.
 SAME_FIELDS = 0.6
+#: Different values a task keeps the profiles of.
+KNOWN_VALUES = 100_000
 #: Magnitude buckets per factor of two, and significant digits that a double always holds.
 PER_OCTAVE, FULL = 4, 15
 
@@ -87,27 +89,44 @@ def file_statistics(requests: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        # what equal values count towards, kept for as many different ones as fit
+        known: tuple[dict, dict] = ({}, {})
         for batch in batches:
-            counts: Counter = Counter()
+            counts: dict[tuple, dict[str, dict[str, int]]] = {}
             for gateway, file_no, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for _, topic, data, _ in events_of(body):
                     if topic is None or not isinstance(data, dict):
                         continue
-                    where = (gateway, topic, file_no)
-                    counts[(*where, "", "events")] += 1
-                    kinds: dict[str, set] = defaultdict(set)
+                    if (paths := counts.get((gateway, topic, file_no))) is None:
+                        counts[gateway, topic, file_no] = paths = {"": {"events": 0}}
+                    paths[""]["events"] = paths[""].get("events", 0) + 1
+                    kinds: dict[str, str | set] = {}
                     for path, v in leaves(data):
-                        if v is not None:
-                            kinds[path].add(kind_of(v))
-                            for p in profile(v):
-                                counts[(*where, path, p)] += 1
+                        if v is None:
+                            continue
+                        if (at := paths.get(path)) is None:
+                            paths[path] = at = {}
+                        memo = known[type(v) is str]
+                        if (told := memo.get(v)) is None:
+                            if len(memo) >= KNOWN_VALUES:
+                                memo.clear()
+                            memo[v] = told = (kind_of(v), *profile(v))
+                        kind = told[0]
+                        for stat in told[1:]:
+                            at[stat] = at.get(stat, 0) + 1
+                        if kinds.get(path, kind) == kind:
+                            kinds[path] = kind
+                        else:
+                            kinds[path] = {kind, *([kinds[path]] if isinstance(kinds[path], str) else kinds[path])}
                     for path, ks in kinds.items():
-                        counts[(*where, path, "has")] += 1
-                        for k in ks:
-                            counts[(*where, path, f"type:{k}")] += 1
-            cols = list(zip(*counts)) if counts else [[] for _ in range(5)]
-            arrays = [_array(list(c), t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()])]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], names=["gateway_id", "topic", "file_no", "path", "stat", "n"])
+                        at = paths[path]
+                        at["has"] = at.get("has", 0) + 1
+                        for k in (ks,) if isinstance(ks, str) else ks:
+                            at[f"type:{k}"] = at.get(f"type:{k}", 0) + 1
+            rows = [(*where, path, stat, n) for where, paths in counts.items() for path, stats in paths.items() for stat, n in stats.items()]
+            cols = list(zip(*rows)) if rows else [[] for _ in range(6)]
+            arrays = [_array(list(c), t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["gateway_id", "topic", "file_no", "path", "stat", "n"])
 
     rows = requests.where("gateway_id is not null and file_no is not null").select("gateway_id", F.col("file_no").cast("int"), "body")
     part = rows.mapInArrow(run, STATS)
