@@ -250,13 +250,13 @@ _PAIR = ["topic_a", "file_a", "path_a", "topic_b", "file_b", "path_b"]
 PAIRS = "gateway_id string, topic_a string, file_a int, path_a string, topic_b string, file_b int, path_b string"
 
 
-def text_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of text fields of one gateway whose forms must be compared."""
+def value_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of text fields, and of number fields, of one gateway whose values must be compared."""
     schema, of_topic, turns = _schemas(pdf)
     rows = []
 
     def add(t: str, a: int, p: str, u: str, b: int, q: str) -> None:
-        if schema[t, a][p].type == schema[u, b][q].type == "string":
+        if schema[t, a][p].type == schema[u, b][q].type != "boolean":
             rows.append((t, a, p, u, b, q))
 
     for t, fs in of_topic.items():
@@ -344,9 +344,14 @@ def changes(statistics: DataFrame) -> DataFrame:
     small = st.where(~is_form).unionByName(events)
     for name, n in (("values:", "of"), ("forms:", "forms")):
         small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
-    pairs = materialize(small.groupBy("gateway_id").applyInPandas(text_pairs, PAIRS), "drift-pairs")
+    # decimals and magnitudes are wanted for the fields of pairs only
+    of_numbers = F.substring("stat", 1, 1).isin("d", "q")
+    numbers, small = small.where(of_numbers), small.where(~of_numbers & (F.col("stat") != "b"))
+    pairs = materialize(small.groupBy("gateway_id").applyInPandas(value_pairs, PAIRS), "drift-pairs")
     asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
-    sums = join_small(sums.select(*at, "kind", "of"), asked.select("gateway_id", "f.*").distinct(), at, "left_semi")
+    asked = asked.select("gateway_id", "f.*").distinct()
+    small = small.unionByName(join_small(numbers, asked, at, "left_semi"))
+    sums = join_small(sums.select(*at, "kind", "of"), asked, at, "left_semi")
     forms = join_small(forms, sums, [*at, "kind"])
     overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
     return small.groupBy("gateway_id").cogroup(overlaps.groupBy("gateway_id")).applyInPandas(compare_gateway, CHANGES)
