@@ -333,24 +333,24 @@ def changes(statistics: DataFrame) -> DataFrame:
     task: neither its events nor the forms of its texts, and at most ONE_IN times as many paths a topic and file as its
     events carry on average, so keys that are data (ids as names) don't gather there."""
     at = ["gateway_id", "topic", "file_no", "path"]
-    st = materialize(statistics, "drift-statistics")
-    events = st.where("path = '' and stat = 'events'")
-    fields = join_small(st.where("stat = 'has'"), events.select(*at[:3], F.col("n").alias("events")), at[:3])
-    fields = materialize(fields.where(F.col("n") * ONE_IN >= F.col("events")).select(*at), "drift-fields")
-    st = join_small(st, fields, at, "left_semi")
-    is_form = F.substring("stat", 1, 1).isin("s", "S")
-    forms = st.where(is_form).withColumn("kind", F.substring("stat", 1, 1))
+    first = F.substring("stat", 1, 1)
+    part = F.when((F.col("path") == "") & (F.col("stat") == "events"), "events").when(F.col("stat") == "has", "has").when(first.isin("s", "S"), "form").when(first.isin("d", "q"), "number").otherwise("type")
+    # kept by kind of statistic, so that each of the following steps reads its own only
+    kept = materialize(statistics.withColumn("part", part), "drift-statistics", ["part"])
+    of = lambda name: kept.where(F.col("part") == name).drop("part")
+    fields = join_small(of("has"), of("events").select(*at[:3], F.col("n").alias("events")), at[:3])
+    fields = materialize(fields.where(F.col("n") * ONE_IN >= F.col("events")).select(*at, "stat", "n"), "drift-fields")
+    belongs = fields.select(*at)
+    forms = materialize(join_small(of("form"), belongs, at, "left_semi").withColumn("kind", first), "drift-forms")
     sums = materialize(forms.groupBy(*at, "kind").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("forms")), "drift-sums")
-    small = st.where(~is_form).unionByName(events)
+    small = fields.unionByName(join_small(of("type").where("startswith(stat, 'type:')"), belongs, at, "left_semi")).unionByName(of("events"))
     for name, n in (("values:", "of"), ("forms:", "forms")):
         small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
-    # decimals and magnitudes are wanted for the fields of pairs only
-    of_numbers = F.substring("stat", 1, 1).isin("d", "q")
-    numbers, small = small.where(of_numbers), small.where(~of_numbers & (F.col("stat") != "b"))
     pairs = materialize(small.groupBy("gateway_id").applyInPandas(value_pairs, PAIRS), "drift-pairs")
     asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
     asked = asked.select("gateway_id", "f.*").distinct()
-    small = small.unionByName(join_small(numbers, asked, at, "left_semi"))
+    # decimals and magnitudes are wanted for the fields of pairs only
+    small = small.unionByName(join_small(of("number"), asked, at, "left_semi"))
     sums = join_small(sums.select(*at, "kind", "of"), asked, at, "left_semi")
     forms = join_small(forms, sums, [*at, "kind"])
     overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
