@@ -122,7 +122,17 @@ def test_moving_average_and_admission(spark):
     got = {(r["k"], r["seq"]): r["ema"] for r in folds.ema(df, ["k"], ["seq"], "x").collect()}
     assert [got["a", i] for i in range(5)] == [0, 1000, 1100, 1100, 1290] and got["b", 1] == 7 and got[None, 1] == 5
     assert folds.ema(df.limit(0), ["k"], ["seq"], "x").count() == 0
-    assert [r["accepted"] for r in folds.admitted(spark.createDataFrame([(5000,), (900,), (None,)], "ema bigint"), threshold=1000).collect()] == [False, True, True]
+    rows = [("a", i, x, "clash") for i, x in enumerate([None, 2000, 10, 10, 10, None, 10] + [1] * 40)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, x bigint, ema string")
+    for latching in (True, False):
+        now, want = 0, []
+        for _, _, x, _ in rows:
+            want.append(now < 1000)
+            if x is not None and (want[-1] or not latching):
+                now = x if now == 0 else (now * 9 + x) // 10
+        got = {r["seq"]: r["accepted"] for r in folds.admitted(df, ["k"], ["seq"], "x", 1000, latching).collect()}
+        assert [got[i] for i in range(len(rows))] == want and any(want[3:]) != latching
+    assert folds.admitted(df.limit(0), ["k"], ["seq"], "x").count() == 0
 
 
 def test_token_bucket_and_last_ids_against_plain_loops(spark):
@@ -222,6 +232,7 @@ def test_log_segments(spark, tmp_path):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wal").load(root)
     key = lambda rows: sorted((r["shard"], r["segment"], r["wal_offset"], bytes(r["payload"] or b"")) for r in rows)
     assert key(wal.read_wal_files(files).collect()) == key(df.collect())
+    assert spark.read.format("streamroute_wal").load(f"file://{root}").count() == df.count() and spark.read.format("streamroute_wal").load(f"{root}/none").count() == 0
     assert wal.payload_json(recs[2][2]) == '{"a": 1}' and wal.payload_json(b"\xc1") is None
 
 
