@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,32 @@ def message_state(deliveries: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
+ACKS = "msg_id string, consumer_id string, status string, reason string"
+
+
+def handle(deliveries: DataFrame, handler: Callable[[dict], None]) -> DataFrame:
+    """Run a consumer's handler on every delivery, batch by batch on the executors: acknowledgements with status 'done', or
+    'rejected' and the error's text where it raised one. The handler gets the row as a dict and may run again for a
+    row whose task is repeated."""
+    names = deliveries.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    handler(row)
+                    out.append((row[KEY[0]], row[KEY[1]], "done", None))
+                except Exception as e:  # noqa: BLE001 - whatever a handler raises is its verdict on the event
+                    out.append((row[KEY[0]], row[KEY[1]], "rejected", str(e)))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["msg_id", "consumer_id", "status", "reason"])
+
+    return deliveries.select(*names).mapInArrow(run, ACKS)
+
+
 def sdk_retry_delay_ms(attempt: Column, base: int = 100) -> Column:
     """Publisher's delay before try `attempt` + 1 (attempt counts from 0)."""
     return F.lit(base) * F.pow(F.lit(2.0), attempt)

@@ -44,3 +44,27 @@ def members_after(log: DataFrame, order: str, group: str = "grp", member: str =
     rows = log.where(F.col(group).isNotNull() & F.col(member).isNotNull())
     last = rows.groupBy(group, member).agg(F.max_by(op, order).alias("__op"), F.max(order).alias("joined"))
     return last.where(F.col("__op") == "add").drop("__op")
+
+
+def least_loaded(events: DataFrame, members: DataFrame, order: str, cost: str, group: str = "grp", member: str = "consumer_id", seq: str = "ingest_seq", name: str = "member") -> DataFrame:
+    """events plus the member that had the least load before it (of equal ones the earliest to join); the event's cost is
+    then added to it. Null costs weigh nothing. Sequential per group by definition: a group's rows stream through
+    one task and a state of one number a member."""
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from streamroute.operators.folds import ordered_fold
+
+    own = join_small(events, members_of(members, order, group, member).withColumnRenamed("members", "__members"), [group], "left")
+
+    def step(load: dict, cols: dict) -> tuple[dict, list]:
+        out = np.empty(len(cols["__members"]), object)
+        for i, (names, c) in enumerate(zip(cols["__members"], cols[cost])):
+            if names is not None and len(names):
+                out[i] = min(names, key=lambda m: load.get(m, 0.0))
+                load[out[i]] = load.get(out[i], 0.0) + (0.0 if c is None or c != c else float(c))
+            else:
+                out[i] = None
+        return load, [out]
+
+    return ordered_fold(own, [group], [seq], dict, step, [T.StructField(name, T.StringType())]).drop("__members")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamroute import broker
 from streamroute.functions.msgid import canonical_id, canonical_sql
 from streamroute.operators import access, dedup, delivery, folds, groups, numbering, ring, routing, stats, topics
 from streamroute.operators.filters import FilterError, VariantFields, compile_filter
@@ -95,6 +96,40 @@ def request_codes(spark: SparkSession, d: str) -> DataFrame:
     return access.refused(known, acl, ["service_id"], "size", 200).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("ingest_seq").alias("sum_seq"))
 
 
+def group_least_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """With equal costs the least loaded member is the one whose turn it is."""
+    e, m = ev._grouped(spark, d)
+    return groups.least_loaded(e.select("ingest_seq", "grp", F.lit(1).alias("cost")), m, "joined", "cost").select("ingest_seq", "grp", "member")
+
+
+def handler_acks(spark: SparkSession, d: str) -> DataFrame:
+    """Acknowledgements of a handler that rejects large attempts."""
+
+    def handler(row: dict) -> None:
+        if row["attempt"] > 4:
+            raise ValueError(f"attempt {row['attempt']}")
+
+    got = delivery.handle(ev._tracked(spark, d).select("msg_id", "consumer_id", "attempt"), handler)
+    return got.groupBy("consumer_id", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def broker_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Publish half of pub_messages, subscribe, publish all of it, deliver, acknowledge every third delivery: what is
+    pending for each consumer."""
+    b = broker.temporary(spark)
+    m = table(spark, d, "pub_messages").select("ingest_seq", "msg_id", "topic", "payload", "headers")
+    half = m.select(F.floor(F.max("ingest_seq") / 2)).first()[0] or 0
+    b.publish(m.where(F.col("ingest_seq") <= half), "ingest_seq")
+    b.subscribe("s1", "all", ">", position="earliest")
+    b.subscribe("s2", "orders", "order.>", filter="payload.total > 50")
+    b.subscribe("s3", "gone", "*")
+    b.unsubscribe("s3")
+    b.publish(m, "ingest_seq")
+    out = b.deliver()
+    b.ack(out.where("ingest_seq % 3 = 0").select("msg_id", "consumer_id", F.lit("done").alias("status")))
+    return b.pending().groupBy("consumer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # statistics
 
 
@@ -258,7 +293,7 @@ def filter_raw(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_tiered_counts, batch_hole, consumer_handler_order, admission_decisions, retry_schedule, subscription_ttl, subscriptions_removed, priority_order, request_codes, rate_sliding,
+        dedup_tiered_counts, batch_hole, consumer_handler_order, group_least_loaded, handler_acks, broker_flow, admission_decisions, retry_schedule, subscription_ttl, subscriptions_removed, priority_order, request_codes, rate_sliding,
         latency_histogram, latency_histogram_quantile, load_test_stats, namespace_service_counts, group_member_counts, topology_nodes, cluster_counts, metrics_lines, wal_log_scan, frame_scan,
         msgpack_round_trip, config_routes, config_grants, filter_array, filter_errors, filter_raw,
     )
@@ -293,6 +328,14 @@ SQL = {
         n as (select consumer_id, mid is null or row_number() over w = 1 as b, mid is null or not coalesce(bool_or(ok) over (partition by consumer_id, mid order by delivery_id rows between unbounded preceding and 1 preceding), false) as a
           from r window w as (partition by consumer_id, mid order by delivery_id))
         select consumer_id, count(*) filter (where b) as n_before, count(*) filter (where a) as n_after from n group by 1""",
+    "group_least_loaded": ev.SQL["group_round_robin"],
+    "handler_acks": f"""with {_EV}, {_TR} select consumer_id, case when attempt > 4 then 'rejected' else 'done' end as status, case when attempt > 4 then 'attempt ' || cast(attempt as varchar) end as reason, count(*) as n from d group by 1, 2, 3""",
+    "broker_flow": f"""with m as (select ingest_seq, {_MID} as mid, topic, case when json_valid(payload) then cast(payload as json) end as js from pub_messages),
+        half as (select coalesce(floor(max(ingest_seq) / 2), 0) as h from pub_messages),
+        k as (select *, ingest_seq > h as late, row_number() over (partition by mid order by ingest_seq) as rn from m, half where coalesce(topic, '') <> '' and mid is not null)
+        select u.consumer_id, count(*) as n from k, (values ('all'), ('orders')) u(consumer_id)
+        where rn = 1 and (ingest_seq + case when late then 1099511627776 else 0 end) % 3 <> 0 and (u.consumer_id = 'all' or late and starts_with(topic, 'order.')
+          and coalesce(json_type(js, '$.total') in ('UBIGINT', 'BIGINT', 'DOUBLE') and cast(js->>'$.total' as double) > 50, false)) group by 1""",
     "admission_decisions": f"""with recursive {_EV}, n as (select topic, cast(round(value * 100) as bigint) as x, row_number() over (partition by topic order by ingest_seq) rn from ev),
         f as (select topic, rn, x as ema from n where rn = 1 union all select n.topic, n.rn, case when f.ema = 0 then n.x else (f.ema * 9 + n.x) // 10 end from f join n on n.topic = f.topic and n.rn = f.rn + 1),
         p as (select topic, rn, coalesce(lag(ema) over (partition by topic order by rn), 0) as prev from f),

@@ -79,6 +79,14 @@ def stream_sink(spark: SparkSession, d: str) -> DataFrame:
     return st.read_batches(spark, f"{base}/out", rows.schema).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum("ingest_seq").alias("sum_seq"))
 
 
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a query reports to have read."""
+    base = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    q = _events(spark, d).select("ingest_seq").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return st.progress(q).agg(F.sum("rows_in").alias("rows_in"))
+
+
 def stream_ack_timeouts(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries with the acknowledgement that came within 30 seconds, or false where none came in time. A delivery is given
     up once the watermark (an hour behind the last event) has passed its time."""
@@ -88,7 +96,7 @@ def stream_ack_timeouts(spark: SparkSession, d: str) -> DataFrame:
     return got.select("msg_id", F.col("status").isNotNull().alias("acked"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_dedup_watermark, stream_window_counts, stream_route, stream_ema, stream_token_bucket, stream_round_robin, stream_totals, stream_sink, stream_ack_timeouts)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_dedup_watermark, stream_window_counts, stream_route, stream_ema, stream_token_bucket, stream_round_robin, stream_totals, stream_sink, stream_progress, stream_ack_timeouts)}
 
 SQL = {
     "stream_dedup": f"with {batch._EV} select ingest_seq, msg_id, topic from ev",
@@ -96,6 +104,7 @@ SQL = {
     "stream_token_bucket": batch.SQL["token_bucket"],
     "stream_round_robin": f"with {batch._EV} select event_type as grp, ingest_seq, 'm' || cast((row_number() over (partition by event_type order by ingest_seq) - 1) % 3 as varchar) as member from ev",
     "stream_totals": "select event_type, count(*) as n, max(event_id) as last_seq from events group by 1",
+    "stream_progress": "select count(*) as rows_in from events",
     "stream_sink": f"with {batch._EV} select topic, count(*) as n, cast(sum(ingest_seq) as bigint) as sum_seq from ev group by 1",
     "stream_window_counts": """select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n from events
         where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) from events) - interval '1 day' group by 1, 2""",

@@ -159,3 +159,15 @@ def ack_timeouts(deliveries: DataFrame, acks: DataFrame, seconds: int, late: str
 def sink_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """foreachBatch sink with its own checkpoint: `write(df, batch_id)` must be idempotent per batch."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+PROGRESS = "batch_id bigint, rows_in bigint, rows_out bigint, state_rows bigint"
+
+
+def progress(query) -> DataFrame:
+    """What a query's batches read, wrote and keep as state, from its own progress reports (a sink for metrics)."""
+    rows = []
+    for p in query.recentProgress:
+        state = sum(s["numRowsTotal"] for s in p["stateOperators"])
+        rows.append((p["batchId"], p["numInputRows"], max(p["sink"]["numOutputRows"], 0), state))
+    return query.sparkSession.createDataFrame(rows, PROGRESS) if hasattr(query, "sparkSession") else SparkSession.active().createDataFrame(rows, PROGRESS)
