@@ -133,9 +133,11 @@ class IncrementalTable:
         rows = self.derive(mine).withColumn(PART, part_of(keys)).withColumn(PLACE, F.lit(False))
         places = todo.withColumn(PLACE, F.lit(True))
         out = join_small(rows, parts, [PART], "left_semi").unionByName(places, allowMissingColumns=True)
-        # a partition's rows are written by one task, those of a large one by several (by content, so that tasks can be repeated)
+        # a partition's rows are written by one task, those of a large one by several (by content, so that tasks can be
+        # repeated); a fixed number of tasks, since a folder each costs more than its few bytes tell
         lanes = max(1, -(-(now.agg(F.max(FINGERPRINT[0]).alias("n")).first()["n"] or 0) // LANE_ROWS))
-        out = out.repartition(PART, F.pmod(F.xxhash64(*[F.col(f.name) for f in out.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(lanes)))
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        out = out.repartition(tasks, PART, F.pmod(F.xxhash64(*[F.col(f.name) for f in out.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(lanes)))
         spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(f"{self.path}/shape")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.path}/data")
         self._commit(now, v)
