@@ -51,6 +51,12 @@ def p2_casts(spark: SparkSession, d: str) -> DataFrame:
     return drift.cast_report(drift.consistent_values(requests, drift.changes(drift.file_statistics(requests))))
 
 
+def p2_casts_as_named(spark: SparkSession, d: str) -> DataFrame:
+    """The cast report under the names that topics and fields have in the files, renames left aside."""
+    requests = table(spark, d, "raw_requests")
+    return drift.cast_report(drift.consistent_values(requests, spark.createDataFrame([], drift.CHANGES)))
+
+
 def p2_orders(spark: SparkSession, d: str) -> DataFrame:
     """The consistent table of one topic over all gateways and files."""
     requests = table(spark, d, "raw_requests")
@@ -136,7 +142,7 @@ def p5_topic_stats(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ids.withColumnRenamed("topic", "t"), F.col("topic").eqNullSafe(F.col("t"))).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_tables, p1_items, p2_found, p2_path_types, p2_casts, p2_orders, p3_found, p3_kept, p3_new_batches, p3_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_tables, p1_items, p2_found, p2_path_types, p2_casts, p2_casts_as_named, p2_orders, p3_found, p3_kept, p3_new_batches, p3_batches, p4_found, p4_fingerprints, p4_two_runs, p5_found, p5_topic_stats)}
 
 #: Events of the bodies, their data, and every value in it with its path (keys without their quotes).
 _BODIES = r"""
@@ -197,6 +203,18 @@ SQL = {
         select gateway_id, topic, file_no, path, count(distinct (request_id, event_no)) as n_events, count(*) filter (where kind = 'string') as n_string,
           count(*) filter (where kind = 'number') as n_number, count(*) filter (where kind = 'boolean') as n_boolean
         from own join v using (request_id, event_no) group by 1, 2, 3, 4""",
+    "p2_casts_as_named": rf"""
+        with {_BODIES}, own as (
+          select js->>'$.topic' as topic, request_id, event_no from dt join raw_requests using (request_id)
+          where json_type(js, '$.topic') = 'VARCHAR' and json_type(data) = 'OBJECT' and gateway_id is not null and file_no is not null),
+        v as (
+          select topic, regexp_replace(substr(path, 6), '\[\d+\]', '[]', 'g') as field_path, v, case when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' else 'number' end as kind
+          from tr join own using (request_id, event_no) where type not in ('OBJECT', 'ARRAY', 'NULL') and path <> 'data'),
+        n as (select topic, field_path, kind, count(*) as n from v group by 1, 2, 3),
+        one as (select topic, field_path, arg_max(kind, (n, kind)) as type from n group by 1, 2)
+        select topic, field_path, type, count(*) as n_values, count(*) filter (where kind <> type) as n_other_type, count(*) filter (where
+            type = 'number' and not (regexp_matches(v, '{drift.DECIMAL}') and kind <> 'boolean') or type = 'boolean' and lower(v) not in ('true', 'false')) as n_failed
+        from v join one using (topic, field_path) group by 1, 2, 3""",
     "p3_found": f"""
         select delivery_id from (
           select delivery_id, row_number() over (partition by mid, consumer_id order by attempt nulls last, delivered_at nulls last, delivery_id nulls last) rn
