@@ -18,7 +18,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamroute.operators.nested import _array, events_of, kind_of, text_of
@@ -226,26 +226,16 @@ def renames(old: dict[str, Field], new: dict[str, Field], common: Callable) -> d
 CHANGES = "gateway_id string, topic string, file_no int, change_kind string, field_path string, new_name string"
 
 
-def _schemas(pdf: pd.DataFrame) -> tuple[dict, dict[str, list[int]], list[tuple]]:
-    """Of one gateway: the fields of each topic and file; the files of each topic; the topics that may be renamed, as
-    (file that ends, file that begins, topic that ends, topic that begins)."""
+def _schemas(pdf: pd.DataFrame) -> dict[int, dict[str, Field]]:
+    """Of one gateway's topic: the fields of each file, files in order."""
     stats: dict = defaultdict(lambda: defaultdict(dict))
-    events: dict = {}
-    for topic, file_no, path, stat, n in zip(pdf["topic"], pdf["file_no"], pdf["path"], pdf["stat"], pdf["n"]):
+    events = set()
+    for file_no, path, stat, n in zip(pdf["file_no"], pdf["path"], pdf["stat"], pdf["n"]):
         if stat == "events" and path == "":
-            events[topic, file_no] = int(n)
+            events.add(int(file_no))
         else:
-            stats[topic, file_no][path][stat] = int(n)
-    schema = {k: {p: f for p, s in stats[k].items() if s.get("has", 0) * ONE_IN >= n and (f := Field(s)).type != "null"} for k, n in events.items()}
-    files = sorted({f for _, f in events})
-    of_topic: dict[str, list[int]] = defaultdict(list)
-    for t, f in sorted(events, key=lambda x: x[1]):
-        of_topic[t].append(f)
-    turns = []
-    for a, b in zip(files, files[1:]):
-        begun = [u for u, fs in of_topic.items() if fs[0] == b]
-        turns += [(a, b, t, u) for t, fs in of_topic.items() if fs[-1] == a for u in begun]
-    return schema, of_topic, turns
+            stats[int(file_no)][path][stat] = int(n)
+    return {f: {p: x for p, s in stats[f].items() if "has" in s and (x := Field(s)).type != "null"} for f in sorted(events)}
 
 
 _PAIR = ["topic_a", "file_a", "path_a", "topic_b", "file_b", "path_b"]
@@ -253,67 +243,104 @@ PAIRS = "gateway_id string, topic_a string, file_a int, path_a string, topic_b s
 
 
 def value_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of text fields, and of number fields, of one gateway whose values must be compared."""
-    schema, of_topic, turns = _schemas(pdf)
-    rows = []
-
-    def add(t: str, a: int, p: str, u: str, b: int, q: str) -> None:
-        if schema[t, a][p].type == schema[u, b][q].type != "boolean":
-            rows.append((t, a, p, u, b, q))
-
-    for t, fs in of_topic.items():
-        for a, b in zip(fs, fs[1:]):
-            old, new = schema[t, a], schema[t, b]
-            for p in (p for p in old if p not in new):
-                for q in (q for q in new if q not in old):
-                    add(t, a, p, t, b, q)
-    for a, b, t, u in turns:
-        both = schema[t, a].keys() & schema[u, b].keys()
-        if len(both) >= SAME_FIELDS * max(1, len(schema[t, a].keys() | schema[u, b].keys())):
-            for p in sorted(both):
-                add(t, a, p, u, b, p)
+    """Pairs of text fields, and of number fields, of one gateway's topic that leave and enter in the same file."""
+    schema, topic, rows = _schemas(pdf), pdf["topic"].iloc[0], []
+    for (a, old), (b, new) in zip(schema.items(), list(schema.items())[1:]):
+        come = [q for q in new if q not in old]
+        rows += [(topic, a, p, topic, b, q) for p in old if p not in new for q in come if old[p].type == new[q].type != "boolean"]
     out = pd.DataFrame(rows, columns=_PAIR)
     out.insert(0, "gateway_id", pdf["gateway_id"].iloc[0])
     return out
 
 
-def compare_gateway(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
-    """All changes of one gateway's files from its statistics and the overlaps of its pairs of texts."""
+def _found(overlaps: pd.DataFrame, n_a, n_b) -> dict:
+    """Exact overlaps by (file a, path a, file b, path b). n_a, n_b: how many values of a kind a field has."""
+    found: dict = defaultdict(dict)
+    for a, p, b, q, kind, common, shared in zip(*(overlaps[c] for c in ("file_a", "path_a", "file_b", "path_b", "kind", "common", "shared"))):
+        found[int(a), p, int(b), q][kind] = (int(common) / (n_a(int(a), p, kind) * n_b(int(b), q, kind)), int(shared))
+    return found
+
+
+def compare_topic(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
+    """All changes of fields between one topic's files, from their statistics and the overlaps of their pairs of texts."""
     if pdf.empty:
         return pd.DataFrame(columns=[c.split()[0] for c in CHANGES.split(", ")])
-    schema, of_topic, turns = _schemas(pdf)
-    found: dict = defaultdict(dict)
-    for *pair, kind, common, shared in zip(*(overlaps[c] for c in [*_PAIR, "kind", "common", "shared"])):
-        t, a, p, u, b, q = pair
-        total = schema[t, a][p].n[kind][0] * schema[u, b][q].n[kind][0]
-        found[t, a, p, u, b, q][kind] = (int(common) / total, int(shared))
-    rows = []
-    for t, fs in of_topic.items():
-        for a, b in zip(fs, fs[1:]):
-            old, new = schema[t, a], schema[t, b]
-            named = renames(old, new, lambda p, q: found.get((t, a, p, t, b, q), {}))
-            rows += [(t, b, "renamed", p, q) for p, q in named.items()]
-            rows += [(t, b, "removed", p, "") for p in old if p not in new and p not in named]
-            rows += [(t, b, "added", q, "") for q in new if q not in old and q not in named.values()]
-            rows += [(t, b, "retyped", p, "") for p in old if p in new and old[p].type != new[p].type]
-    at_turn: dict[tuple[int, int], list] = defaultdict(list)
-    for a, b, t, u in turns:
-        old, new = schema[t, a], schema[u, b]
-        same = [p for p in old if p in new and alike(old[p], new[p], found.get((t, a, p, u, b, p), {})) > 0]
-        share = len(same) / max(1, len({*old, *new}))
-        if share >= SAME_FIELDS:
-            at_turn[a, b].append((share, t, u))
-    for (_, b), pairs in at_turn.items():
-        used: set[str] = set()
-        for _, t, u in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
-            if t not in used and u not in used:
-                used |= {t, u}
-                rows.append((t, b, "topic_renamed", "", u))
-    out = pd.DataFrame(rows, columns=["topic", "file_no", "change_kind", "field_path", "new_name"])
+    schema, rows = _schemas(pdf), []
+    values = lambda f, p, kind: schema[f][p].n[kind][0]
+    found = _found(overlaps, values, values)
+    for (a, old), (b, new) in zip(schema.items(), list(schema.items())[1:]):
+        named = renames(old, new, lambda p, q: found.get((a, p, b, q), {}))
+        rows += [(b, "renamed", p, q) for p, q in named.items()]
+        rows += [(b, "removed", p, "") for p in old if p not in new and p not in named]
+        rows += [(b, "added", q, "") for q in new if q not in old and q not in named.values()]
+        rows += [(b, "retyped", p, "") for p in old if p in new and old[p].type != new[p].type]
+    out = pd.DataFrame(rows, columns=["file_no", "change_kind", "field_path", "new_name"])
     out.insert(0, "gateway_id", pdf["gateway_id"].iloc[0])
+    out.insert(1, "topic", pdf["topic"].iloc[0])
     return out
 
 
+_TURN = ["gateway_id", "topic_a", "file_a", "topic_b", "file_b"]
+TURNS = "gateway_id string, topic_a string, file_a int, topic_b string, file_b int, share double"
+
+
+def compare_turn(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
+    """What share of the fields of a topic that ends and one that begins are the same, in name and in kind of values. pdf:
+    the statistics of their common fields (side a or b) and the number of all their fields (side '')."""
+    columns = [c.split()[0] for c in TURNS.split(", ")]
+    if pdf.empty:
+        return pd.DataFrame(columns=columns)
+    stats: dict = defaultdict(lambda: defaultdict(dict))
+    for side, path, stat, n in zip(pdf["side"], pdf["path"], pdf["stat"], pdf["n"]):
+        stats[side][path][stat] = int(n)
+    old, new = ({p: Field(x) for p, x in stats[side].items()} for side in "ab")
+    found = _found(overlaps, lambda _, p, kind: old[p].n[kind][0], lambda _, p, kind: new[p].n[kind][0])
+    a, b = int(pdf["file_a"].iloc[0]), int(pdf["file_b"].iloc[0])
+    same = sum(alike(old[p], new[p], found.get((a, p, b, p), {})) > 0 for p in old if p in new)
+    return pd.DataFrame([(*pdf[_TURN].iloc[0], same / max(1, stats[""][""]["union"]))], columns=columns)
+
+
+def match_turns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Renamed topics between two files of a gateway: the surest pairs first, each topic in one."""
+    used: set[str] = set()
+    rows = []
+    for share, t, u, b in sorted(zip(-pdf["share"], pdf["topic_a"], pdf["topic_b"], pdf["file_b"])):
+        if ("a", t) not in used and ("b", u) not in used:
+            used |= {("a", t), ("b", u)}
+            rows.append((pdf["gateway_id"].iloc[0], t, b, "topic_renamed", "", u))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+
+def turns(events: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics that may be renamed: (pairs with n_union, their common fields with both types).
+
+    A pair is a topic whose rows end with a file and one whose rows begin with the gateway's next file, sharing at least
+    SAME_FIELDS of their fields. Pairs are found by prefixes: fields are ordered by how rare they are at that turn, and
+    two topics that share so many must share one of the rarest few of each. So no topic is set against all others.
+    """
+    span = events.groupBy("gateway_id", "topic").agg(F.min("file_no").alias("first"), F.max("file_no").alias("last"))
+    files = events.select("gateway_id", "file_no").distinct()
+    step = files.select("gateway_id", F.col("file_no").alias("last"), F.lead("file_no").over(Window.partitionBy("gateway_id").orderBy("file_no")).alias("turn")).where("turn is not null")
+    ends = span.join(step, ["gateway_id", "last"]).select("gateway_id", "turn", "topic", F.col("last").alias("file_no"), F.lit("a").alias("side"))
+    begins = span.join(step.select("gateway_id", "turn"), ["gateway_id"]).where("first = turn").select("gateway_id", "turn", "topic", F.col("first").alias("file_no"), F.lit("b").alias("side"))
+    fields = ends.unionByName(begins).join(types, ["gateway_id", "topic", "file_no"])
+    mine = Window.partitionBy("gateway_id", "turn", "side", "topic")
+    rare = fields.groupBy("gateway_id", "turn", "path").agg(F.count(F.lit(1)).alias("freq"))
+    fields = fields.join(rare, ["gateway_id", "turn", "path"]).withColumns({"n_fields": F.count(F.lit(1)).over(mine), "rank": F.row_number().over(mine.orderBy("freq", "path"))})
+    fields = materialize(fields, "drift-turn-fields")
+
+    def side(x: str, df: DataFrame) -> DataFrame:
+        named = {"topic": f"topic_{x}", "file_no": f"file_{x}", "type": f"type_{x}", "n_fields": f"n_{x}"}
+        return df.where(F.col("side") == x).select("gateway_id", "turn", "path", *[F.col(k).alias(v) for k, v in named.items()])
+
+    prefix = fields.where(F.col("rank") <= F.col("n_fields") - F.ceil(F.col("n_fields") * SAME_FIELDS - 1e-9) + 1)
+    near = side("a", prefix).join(side("b", prefix), ["gateway_id", "turn", "path"]).select(*_TURN, "turn").distinct()
+    both = near.join(side("a", fields), ["gateway_id", "turn", "topic_a", "file_a"]).join(side("b", fields), ["gateway_id", "turn", "topic_b", "file_b", "path"])
+    n = both.groupBy(*_TURN, "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_both")).withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_both"))
+    pairs = n.where(F.col("n_both") >= F.col("n_union") * SAME_FIELDS).select(*_TURN, "n_union")
+    return pairs, both.select(*_TURN, "path", "type_a", "type_b").join(pairs.select(*_TURN), _TURN, "left_semi")
+
+
 def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair of fields and kind of form (s, S): the sum over common forms of the smaller share, times the product of
     both fields' values (whole numbers, so exact in any order), and the number of common forms."""
@@ -331,9 +358,13 @@ def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def changes(statistics: DataFrame) -> DataFrame:
-    """The report of changes. Of a gateway's statistics only those of fields that belong to a topic and file go to one
-    task: neither its events nor the forms of its texts, and at most ONE_IN times as many paths a topic and file as its
-    events carry on average, so keys that are data (ids as names) don't gather there."""
+    """The report of changes.
+
+    Fields are compared topic by topic, topics that end and begin pair by pair. A task gets the statistics of one topic's
+    fields (neither its events nor the forms of its texts), at most ONE_IN times as many paths a file as its events carry
+    on average, so neither topics nor keys that are data (ids as names) gather in one task. Of the pairs of topics only
+    names and shares come together, by gateway and file.
+    """
     at = ["gateway_id", "topic", "file_no", "path"]
     first = F.substring("stat", 1, 1)
     part = F.when((F.col("path") == "") & (F.col("stat") == "events"), "events").when(F.col("stat") == "has", "has").when(first.isin("s", "S"), "form").when(first.isin("d", "q"), "number").otherwise("type")
@@ -345,18 +376,37 @@ def changes(statistics: DataFrame) -> DataFrame:
     belongs = fields.select(*at)
     forms = materialize(join_small(of("form"), belongs, at, "left_semi").withColumn("kind", first), "drift-forms")
     sums = materialize(forms.groupBy(*at, "kind").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("forms")), "drift-sums")
-    small = fields.unionByName(join_small(of("type").where("startswith(stat, 'type:')"), belongs, at, "left_semi")).unionByName(of("events"))
+    of_types = join_small(of("type").where("startswith(stat, 'type:')"), belongs, at, "left_semi")
+    small = fields.unionByName(of_types).unionByName(of("events"))
     for name, n in (("values:", "of"), ("forms:", "forms")):
         small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
-    pairs = materialize(small.groupBy("gateway_id").applyInPandas(value_pairs, PAIRS), "drift-pairs")
+    small = materialize(small, "drift-fields-of-topics")
+    kind = F.substring("stat", 6, 99)
+    types = small.where("startswith(stat, 'type:')").groupBy(*at).agg(F.max_by(kind, F.struct("n", kind)).alias("type"))
+    turn_pairs, turn_fields = turns(of("events"), types)
+    turn_pairs, turn_fields = materialize(turn_pairs, "drift-turns"), materialize(turn_fields, "drift-common")
+    pairs = small.groupBy("gateway_id", "topic").applyInPandas(value_pairs, PAIRS)
+    crossing = turn_fields.where("type_a = type_b and type_a <> 'boolean'").withColumns({"path_a": F.col("path"), "path_b": F.col("path")})
+    pairs = materialize(pairs.unionByName(crossing.select("gateway_id", *_PAIR)), "drift-pairs")
     asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
     asked = asked.select("gateway_id", "f.*").distinct()
     # decimals and magnitudes are wanted for the fields of pairs only
-    small = small.unionByName(join_small(of("number"), asked, at, "left_semi"))
+    small = materialize(small.unionByName(join_small(of("number"), asked, at, "left_semi")), "drift-compared")
     sums = join_small(sums.select(*at, "kind", "of"), asked, at, "left_semi")
     forms = join_small(forms, sums, [*at, "kind"])
     overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
-    return small.groupBy("gateway_id").cogroup(overlaps.groupBy("gateway_id")).applyInPandas(compare_gateway, CHANGES)
+    own = overlaps.where("topic_a = topic_b")
+    changed = small.groupBy("gateway_id", "topic").cogroup(own.groupBy("gateway_id", "topic_a")).applyInPandas(compare_topic, CHANGES)
+
+    def of_side(x: str) -> DataFrame:
+        named = turn_fields.select(*_TURN, "path", F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"))
+        return join_small(small, named, at).select(*_TURN, F.lit(x).alias("side"), "path", "stat", "n")
+
+    facts = turn_pairs.select(*_TURN, F.lit("").alias("side"), F.lit("").alias("path"), F.lit("union").alias("stat"), F.col("n_union").alias("n"))
+    facts = facts.unionByName(of_side("a")).unionByName(of_side("b"))
+    shares = facts.groupBy(*_TURN).cogroup(overlaps.where("topic_a <> topic_b").groupBy(*_TURN)).applyInPandas(compare_turn, TURNS)
+    renamed = shares.where(F.col("share") >= SAME_FIELDS).groupBy("gateway_id", "file_b").applyInPandas(match_turns, CHANGES)
+    return changed.unionByName(renamed)
 
 
 def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
