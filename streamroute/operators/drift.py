@@ -226,15 +226,15 @@ def renames(old: dict[str, Field], new: dict[str, Field], common: Callable) -> d
 CHANGES = "gateway_id string, topic string, file_no int, change_kind string, field_path string, new_name string"
 
 
-def _schemas(pdf: pd.DataFrame) -> dict[int, dict[str, Field]]:
-    """Of one gateway's topic: the fields of each file, files in order."""
+def _schemas(rows: list[tuple]) -> dict[int, dict[str, Field]]:
+    """Of one gateway's topic (rows of file_no, path, stat, n): the fields of each file, files in order."""
     stats: dict = defaultdict(lambda: defaultdict(dict))
     events = set()
-    for file_no, path, stat, n in zip(pdf["file_no"], pdf["path"], pdf["stat"], pdf["n"]):
+    for file_no, path, stat, n, *_ in rows:
         if stat == "events" and path == "":
-            events.add(int(file_no))
+            events.add(file_no)
         else:
-            stats[int(file_no)][path][stat] = int(n)
+            stats[file_no][path][stat] = n
     return {f: {p: x for p, s in stats[f].items() if "has" in s and (x := Field(s)).type != "null"} for f in sorted(events)}
 
 
@@ -242,41 +242,62 @@ _PAIR = ["topic_a", "file_a", "path_a", "topic_b", "file_b", "path_b"]
 PAIRS = "gateway_id string, topic_a string, file_a int, path_a string, topic_b string, file_b int, path_b string"
 
 
-def value_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _each_topic(df: DataFrame, run_topic: Callable[[str, str, list[tuple]], list[tuple]], schema: str, more: list[str] = ()) -> DataFrame:
+    """run_topic(gateway, topic, its rows) for every gateway's topic. Sorted rows stream through; a task holds one topic's."""
+    cols = ["gateway_id", "topic", "file_no", "path", "stat", "n", *more]
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [c.split()[1] for c in schema.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def give(rows: list[tuple]):
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k == "string" else pa.int32()) for c, k in zip(columns, kinds)], names=names)
+
+        key, rows, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(cols)))):
+                if row[:2] != key:
+                    if rows:
+                        out += run_topic(*key, rows)
+                    key, rows = row[:2], []
+                rows.append(row[2:])
+            if len(out) > 10_000:
+                yield give(out)
+                out = []
+        if rows:
+            out += run_topic(*key, rows)
+        yield give(out)
+
+    return df.select(*cols).repartition("gateway_id", "topic").sortWithinPartitions("gateway_id", "topic").mapInArrow(run, schema)
+
+
+def value_pairs(gateway: str, topic: str, rows: list[tuple]) -> list[tuple]:
     """Pairs of text fields, and of number fields, of one gateway's topic that leave and enter in the same file."""
-    schema, topic, rows = _schemas(pdf), pdf["topic"].iloc[0], []
+    schema, out = _schemas(rows), []
     for (a, old), (b, new) in zip(schema.items(), list(schema.items())[1:]):
         come = [q for q in new if q not in old]
-        rows += [(topic, a, p, topic, b, q) for p in old if p not in new for q in come if old[p].type == new[q].type != "boolean"]
-    out = pd.DataFrame(rows, columns=_PAIR)
-    out.insert(0, "gateway_id", pdf["gateway_id"].iloc[0])
+        out += [(gateway, topic, a, p, topic, b, q) for p in old if p not in new for q in come if old[p].type == new[q].type != "boolean"]
     return out
 
 
-def _found(overlaps: pd.DataFrame, n_a, n_b) -> dict:
-    """Exact overlaps by (file a, path a, file b, path b). n_a, n_b: how many values of a kind a field has."""
+def compare_topic(gateway: str, topic: str, rows: list[tuple]) -> list[tuple]:
+    """All changes of fields between one topic's files, from their statistics and the exact overlaps of their pairs of
+    texts (rows with stat 'overlap:' and the kind of forms)."""
+    schema = _schemas([r for r in rows if not r[2].startswith("overlap:")])
     found: dict = defaultdict(dict)
-    for a, p, b, q, kind, common, shared in zip(*(overlaps[c] for c in ("file_a", "path_a", "file_b", "path_b", "kind", "common", "shared"))):
-        found[int(a), p, int(b), q][kind] = (int(common) / (n_a(int(a), p, kind) * n_b(int(b), q, kind)), int(shared))
-    return found
-
-
-def compare_topic(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
-    """All changes of fields between one topic's files, from their statistics and the overlaps of their pairs of texts."""
-    if pdf.empty:
-        return pd.DataFrame(columns=[c.split()[0] for c in CHANGES.split(", ")])
-    schema, rows = _schemas(pdf), []
-    values = lambda f, p, kind: schema[f][p].n[kind][0]
-    found = _found(overlaps, values, values)
+    for a, p, stat, shared, b, q, common in rows:
+        if stat.startswith("overlap:"):
+            kind = stat[8:]
+            found[a, p, b, q][kind] = (int(common) / (schema[a][p].n[kind][0] * schema[b][q].n[kind][0]), shared)
+    out = []
     for (a, old), (b, new) in zip(schema.items(), list(schema.items())[1:]):
         named = renames(old, new, lambda p, q: found.get((a, p, b, q), {}))
-        rows += [(b, "renamed", p, q) for p, q in named.items()]
-        rows += [(b, "removed", p, "") for p in old if p not in new and p not in named]
-        rows += [(b, "added", q, "") for q in new if q not in old and q not in named.values()]
-        rows += [(b, "retyped", p, "") for p in old if p in new and old[p].type != new[p].type]
-    out = pd.DataFrame(rows, columns=["file_no", "change_kind", "field_path", "new_name"])
-    out.insert(0, "gateway_id", pdf["gateway_id"].iloc[0])
-    out.insert(1, "topic", pdf["topic"].iloc[0])
+        out += [(gateway, topic, b, "renamed", p, q) for p, q in named.items()]
+        out += [(gateway, topic, b, "removed", p, "") for p in old if p not in new and p not in named]
+        out += [(gateway, topic, b, "added", q, "") for q in new if q not in old and q not in named.values()]
+        out += [(gateway, topic, b, "retyped", p, "") for p in old if p in new and old[p].type != new[p].type]
     return out
 
 
@@ -294,9 +315,10 @@ def compare_turn(pdf: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
     for side, path, stat, n in zip(pdf["side"], pdf["path"], pdf["stat"], pdf["n"]):
         stats[side][path][stat] = int(n)
     old, new = ({p: Field(x) for p, x in stats[side].items()} for side in "ab")
-    found = _found(overlaps, lambda _, p, kind: old[p].n[kind][0], lambda _, p, kind: new[p].n[kind][0])
-    a, b = int(pdf["file_a"].iloc[0]), int(pdf["file_b"].iloc[0])
-    same = sum(alike(old[p], new[p], found.get((a, p, b, p), {})) > 0 for p in old if p in new)
+    found: dict = defaultdict(dict)
+    for p, kind, common, shared in zip(*(overlaps[c] for c in ("path_a", "kind", "common", "shared"))):
+        found[p][kind] = (int(common) / (old[p].n[kind][0] * new[p].n[kind][0]), int(shared))
+    same = sum(alike(old[p], new[p], found.get(p, {})) > 0 for p in old if p in new)
     return pd.DataFrame([(*pdf[_TURN].iloc[0], same / max(1, stats[""][""]["union"]))], columns=columns)
 
 
@@ -385,7 +407,7 @@ def changes(statistics: DataFrame) -> DataFrame:
     types = small.where("startswith(stat, 'type:')").groupBy(*at).agg(F.max_by(kind, F.struct("n", kind)).alias("type"))
     turn_pairs, turn_fields = turns(of("events"), types)
     turn_pairs, turn_fields = materialize(turn_pairs, "drift-turns"), materialize(turn_fields, "drift-common")
-    pairs = small.groupBy("gateway_id", "topic").applyInPandas(value_pairs, PAIRS)
+    pairs = _each_topic(small, value_pairs, PAIRS)
     crossing = turn_fields.where("type_a = type_b and type_a <> 'boolean'").withColumns({"path_a": F.col("path"), "path_b": F.col("path")})
     pairs = materialize(pairs.unionByName(crossing.select("gateway_id", *_PAIR)), "drift-pairs")
     asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
@@ -395,8 +417,10 @@ def changes(statistics: DataFrame) -> DataFrame:
     sums = join_small(sums.select(*at, "kind", "of"), asked, at, "left_semi")
     forms = join_small(forms, sums, [*at, "kind"])
     overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
-    own = overlaps.where("topic_a = topic_b")
-    changed = small.groupBy("gateway_id", "topic").cogroup(own.groupBy("gateway_id", "topic_a")).applyInPandas(compare_topic, CHANGES)
+    own = overlaps.where("topic_a = topic_b").select(
+        "gateway_id", F.col("topic_a").alias("topic"), F.col("file_a").alias("file_no"), F.col("path_a").alias("path"), F.concat(F.lit("overlap:"), "kind").alias("stat"), F.col("shared").alias("n"), "file_b", "path_b", "common"
+    )
+    changed = _each_topic(small.unionByName(own, allowMissingColumns=True), compare_topic, CHANGES, ["file_b", "path_b", "common"])
 
     def of_side(x: str) -> DataFrame:
         named = turn_fields.select(*_TURN, "path", F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"))
