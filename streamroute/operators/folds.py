@@ -115,3 +115,23 @@ def last_ids(df: DataFrame, keys: list[str], order: list[str], ident: str, capac
         return kept, [out]
 
     return ordered_fold(df, keys, order, OrderedDict, step, [T.StructField(name, T.BooleanType())])
+
+
+def micro_batches(df: DataFrame, keys: list[str], order: list[str], millis: str, most: int = 100, interval_ms: float = 5, name: str = "batch") -> DataFrame:
+    """The number (from 0) of the batch a row is flushed with, per key: the first row of a batch starts its clock, and it is
+    flushed once it holds `most` rows or the interval has passed. Rows without a time join the open batch."""
+
+    def step(state: tuple[int, int, float], cols: dict) -> tuple[tuple, list]:
+        number, held, began = state
+        out = np.empty(len(cols[millis]), np.int64)
+        for i, t in enumerate(cols[millis]):
+            now = began if t is None or t != t else float(t)
+            if held >= most or held and now > began + interval_ms:
+                number, held = number + 1, 0
+            if not held:
+                began = now
+            held += 1
+            out[i] = number
+        return (number, held, began), [out]
+
+    return ordered_fold(df, keys, order, lambda: (0, 0, float("-inf")), step, [T.StructField(name, T.LongType())])

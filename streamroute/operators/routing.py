@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamroute.operators.filters import FilterError, compile_filter
+from streamroute.operators.numbering import number_rows
 from streamroute.operators.topics import match_topics, route
 from streamroute.operators.transforms import Op, transformed
 from streamroute.session import join_small
@@ -153,3 +154,9 @@ def request_replies(requests: DataFrame, replies: DataFrame, seconds: float, rep
     q = requests.withColumn("__mine", F.explode(F.array(span(at), span(at) + 1)))
     on = (F.col(reply_to) == F.col("__inbox")) & (F.col("__mine") == F.col("__span")) & (F.col("reply_at") >= F.col(at)) & (F.col("reply_at") <= F.col(at) + F.make_dt_interval(secs=F.lit(seconds)))
     return q.join(r, on).drop("__inbox", "__span", "__mine")
+
+
+def within_capacity(deliveries: DataFrame, by: list[str], seq: str, capacity: int = 4096, name: str = "sent") -> DataFrame:
+    """deliveries plus whether each still finds room in its consumer's queue of `capacity` (per `by`, in the order of seq), as
+    a broker that never waits would tell. Nothing is dropped here: the rows come out with their flag."""
+    return number_rows(deliveries, by, seq, "__place").withColumn(name, F.col("__place") <= F.lit(capacity)).drop("__place")

@@ -52,6 +52,20 @@ def admission_decisions(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("topic").agg(F.count_if("latched").alias("n_latched"), F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n"))
 
 
+def micro_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of at most 20 rows and of at most a day, per topic."""
+    e = ev.envelope(spark, d).select("topic", "ingest_seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    got = folds.micro_batches(e, ["topic"], ["ingest_seq"], "ms", 20, 86_400_000)
+    n = got.groupBy("topic", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("topic").agg(F.count(F.lit(1)).alias("n_batches"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+def fan_out_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of each batch that find room in a consumer's queue of three."""
+    got = routing.within_capacity(table(spark, d, "deliveries").select("consumer_id", "batch_no", "delivery_id"), ["consumer_id", "batch_no"], "delivery_id", 3)
+    return got.groupBy("consumer_id").agg(F.count_if("sent").alias("n_sent"), F.count_if(~F.col("sent")).alias("n_full"))
+
+
 OVERRIDES = [("event.error.>", 3), ("event.*.u1", 7), ("event.>", 4)]
 
 
@@ -293,7 +307,7 @@ def filter_raw(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_tiered_counts, batch_hole, consumer_handler_order, group_least_loaded, handler_acks, broker_flow, admission_decisions, retry_schedule, subscription_ttl, subscriptions_removed, priority_order, request_codes, rate_sliding,
+        dedup_tiered_counts, batch_hole, consumer_handler_order, group_least_loaded, handler_acks, broker_flow, admission_decisions, micro_batches, fan_out_capacity, retry_schedule, subscription_ttl, subscriptions_removed, priority_order, request_codes, rate_sliding,
         latency_histogram, latency_histogram_quantile, load_test_stats, namespace_service_counts, group_member_counts, topology_nodes, cluster_counts, metrics_lines, wal_log_scan, frame_scan,
         msgpack_round_trip, config_routes, config_grants, filter_array, filter_errors, filter_raw,
     )
@@ -341,6 +355,14 @@ SQL = {
         p as (select topic, rn, coalesce(lag(ema) over (partition by topic order by rn), 0) as prev from f),
         q as (select topic, prev, max(prev) over (partition by topic order by rn) as most from p)
         select topic, count(*) filter (where most < 9000) as n_latched, count(*) filter (where prev < 9000) as n_open, count(*) as n from q group by 1""",
+    "micro_batches": f"""with recursive {_EV}, n as (select topic, epoch_ms(ts) as ms, row_number() over (partition by topic order by ingest_seq) rn from ev),
+        f as (select topic, rn, 0 as no, 1 as held, ms as began from n where rn = 1
+          union all select n.topic, n.rn, f.no + case when f.held >= 20 or n.ms > f.began + 86400000 then 1 else 0 end, case when f.held >= 20 or n.ms > f.began + 86400000 then 1 else f.held + 1 end,
+            case when f.held >= 20 or n.ms > f.began + 86400000 then n.ms else f.began end from f join n on n.topic = f.topic and n.rn = f.rn + 1),
+        b as (select topic, no, count(*) as n from f group by 1, 2)
+        select topic, count(*) as n_batches, max(n) as most, min(n) as least from b group by 1""",
+    "fan_out_capacity": """with n as (select consumer_id, row_number() over (partition by consumer_id, batch_no order by delivery_id) as place from deliveries)
+        select consumer_id, count(*) filter (where place <= 3) as n_sent, count(*) filter (where place > 3) as n_full from n group by 1""",
     "retry_schedule": f"""with {_EV}, {_TR}, l as (select *, case when split_part(topic, '.', 3) = 'u1' then 7 when starts_with(topic, 'event.error.') then 3 else 4 end as most from d),
         x as (select case when attempt + 1 >= most then 'dlq' else 'retry' end as decision, attempt + 1 as nxt, delivered_at + to_seconds(least(pow(2, attempt), 60)) as due from l)
         select decision, case when decision = 'retry' then nxt end as next_attempt, count(*) as n, min(due) filter (where decision = 'retry') as first_due, max(due) filter (where decision = 'retry') as last_due from x group by 1, 2""",

@@ -63,7 +63,7 @@ def _small_enough(small: DataFrame, max_rows: int) -> bool:
     """Rows and bytes of a side, read only until max_rows are passed."""
     size = F.lit(0).cast("bigint")
     for f in small.schema.fields:
-        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        c, kind = F.col("`" + f.name.replace("`", "``") + "`"), f.dataType.simpleString()
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
         elif kind.startswith(("array", "struct", "map")):

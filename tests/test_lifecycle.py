@@ -138,6 +138,14 @@ def test_rates_and_load(spark):
     assert [x["line"] for x in stats.metrics_text(spark.createDataFrame([('q"\\\n', None, 3)], "a string, b string, n int"), "m", ["a", "b"], "n").collect()] == ['m{a="q\\"\\\\\\n"} 3']
 
 
+def test_batches_flush_when_full_or_late(spark):
+    times = [0, 1, 2, 3, 100, None, 104, 106, 106, 50]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)] + [(None, 0, None)], "k string, seq bigint, ms bigint")
+    got = {(r["k"], r["seq"]): r["batch"] for r in folds.micro_batches(df, ["k"], ["seq"], "ms", 3, 5).collect()}
+    assert [got["k", i] for i in range(len(times))] == [0, 0, 0, 1, 2, 2, 2, 3, 3, 3] and got[None, 0] == 0
+    assert folds.micro_batches(df.limit(0), ["k"], ["seq"], "ms").count() == 0
+
+
 def test_long_records_have_the_same_checksum():
     r = random.Random(5)
     blocks = [r.randbytes(n) for n in (0, 1, 9, 2047, 2048, 2049, 30_001)]
