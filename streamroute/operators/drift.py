@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamroute.operators.nested import _array, events_of, kind_of, text_of
-from streamroute.session import join_small, materialize
+from streamroute.session import JOIN_SALTS, join_small, materialize
 
 #: A field belongs to a topic and file if at least one in so many events carries it.
 ONE_IN = 5
@@ -38,6 +38,11 @@ SAME_FIELDS = 0.6
 DECIMAL = r"^\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"
 #: Different values a task keeps the profiles of.
 KNOWN_VALUES = 100_000
+#: Rows and bytes a side of a join may hold to be broadcast here. The driver holds what is broadcast, of several joins at
+#: once; sides that grow with the gateways mustn't pass through it.
+JOIN_ROWS, JOIN_BYTES = 20_000, 4 << 20
+#: Copies of the smaller side where statistics and fields shuffle to join: fields are millions, of their rows only forms are many a key.
+JOIN_COPIES = 8
 #: Magnitude buckets per factor of two, and significant digits that a double always holds.
 PER_OCTAVE, FULL = 4, 15
 
@@ -77,6 +82,10 @@ def profile(v) -> list[str]:
     return [f"d{decimals}", f"q{size}"]
 
 
+def _join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", copies: int = JOIN_SALTS) -> DataFrame:
+    return join_small(big, small, on, how, JOIN_ROWS, copies, JOIN_BYTES)
+
+
 STATS = "gateway_id string, topic string, file_no int, path string, stat string, n bigint"
 
 
@@ -371,7 +380,7 @@ def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         p = pairs.withColumns({"topic": F.col(f"topic_{x}"), "file_no": F.col(f"file_{x}"), "path": F.col(f"path_{x}")})
         n = [F.when(F.lit(x == y), F.col(c)).otherwise(0).cast("decimal(19,0)").alias(f"{c}_{y}") for c in ("n", "of") for y in "ab"]
-        return join_small(forms, p, at).select("gateway_id", *_PAIR, "kind", "stat", *n)
+        return _join(forms, p, at, copies=JOIN_COPIES).select("gateway_id", *_PAIR, "kind", "stat", *n)
 
     both = side("a").unionByName(side("b")).groupBy("gateway_id", *_PAIR, "kind", "stat").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "of_a", "of_b")])
     both = both.where("n_a > 0 and n_b > 0")
@@ -393,12 +402,12 @@ def changes(statistics: DataFrame) -> DataFrame:
     # kept by kind of statistic, so that each of the following steps reads its own only
     kept = materialize(statistics.withColumn("part", part), "drift-statistics", ["part"])
     of = lambda name: kept.where(F.col("part") == name).drop("part")
-    fields = join_small(of("has"), of("events").select(*at[:3], F.col("n").alias("events")), at[:3])
+    fields = _join(of("has"), of("events").select(*at[:3], F.col("n").alias("events")), at[:3], copies=JOIN_COPIES)
     fields = materialize(fields.where(F.col("n") * ONE_IN >= F.col("events")).select(*at, "stat", "n"), "drift-fields")
     belongs = fields.select(*at)
-    forms = materialize(join_small(of("form"), belongs, at, "left_semi").withColumn("kind", first), "drift-forms")
+    forms = materialize(_join(of("form"), belongs, at, "left_semi", JOIN_COPIES).withColumn("kind", first), "drift-forms")
     sums = materialize(forms.groupBy(*at, "kind").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("forms")), "drift-sums")
-    of_types = join_small(of("type").where("startswith(stat, 'type:')"), belongs, at, "left_semi")
+    of_types = _join(of("type").where("startswith(stat, 'type:')"), belongs, at, "left_semi", JOIN_COPIES)
     small = fields.unionByName(of_types).unionByName(of("events"))
     for name, n in (("values:", "of"), ("forms:", "forms")):
         small = small.unionByName(sums.select(*at, F.concat(F.lit(name), "kind").alias("stat"), F.col(n).alias("n")))
@@ -413,9 +422,9 @@ def changes(statistics: DataFrame) -> DataFrame:
     asked = pairs.select("gateway_id", F.explode(F.array(*[F.struct(F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"), F.col(f"path_{x}").alias("path")) for x in "ab"])).alias("f"))
     asked = asked.select("gateway_id", "f.*").distinct()
     # decimals and magnitudes are wanted for the fields of pairs only
-    small = materialize(small.unionByName(join_small(of("number"), asked, at, "left_semi")), "drift-compared")
-    sums = join_small(sums.select(*at, "kind", "of"), asked, at, "left_semi")
-    forms = join_small(forms, sums, [*at, "kind"])
+    small = materialize(small.unionByName(_join(of("number"), asked, at, "left_semi", JOIN_COPIES)), "drift-compared")
+    sums = _join(sums.select(*at, "kind", "of"), asked, at, "left_semi", JOIN_COPIES)
+    forms = _join(forms, sums, [*at, "kind"], copies=JOIN_COPIES)
     overlaps = materialize(_overlaps(forms, pairs), "drift-overlaps")
     own = overlaps.where("topic_a = topic_b").select(
         "gateway_id", F.col("topic_a").alias("topic"), F.col("file_a").alias("file_no"), F.col("path_a").alias("path"), F.concat(F.lit("overlap:"), "kind").alias("stat"), F.col("shared").alias("n"), "file_b", "path_b", "common"
@@ -424,7 +433,7 @@ def changes(statistics: DataFrame) -> DataFrame:
 
     def of_side(x: str) -> DataFrame:
         named = turn_fields.select(*_TURN, "path", F.col(f"topic_{x}").alias("topic"), F.col(f"file_{x}").alias("file_no"))
-        return join_small(small, named, at).select(*_TURN, F.lit(x).alias("side"), "path", "stat", "n")
+        return _join(small, named, at, copies=JOIN_COPIES).select(*_TURN, F.lit(x).alias("side"), "path", "stat", "n")
 
     facts = turn_pairs.select(*_TURN, F.lit("").alias("side"), F.lit("").alias("path"), F.lit("union").alias("stat"), F.col("n_union").alias("n"))
     facts = facts.unionByName(of_side("a")).unionByName(of_side("b"))
@@ -536,13 +545,13 @@ def consistent_values(requests: DataFrame, report: DataFrame) -> DataFrame:
     names = materialize(last_names(report), "last-names")
     topics = names.where("path = ''").select("gateway_id", F.col("name").alias("topic"), F.col("last").alias("own_topic"))
     paths = names.where("path <> ''").select("gateway_id", F.col("name").alias("own_topic"), "path", F.col("last").alias("own_path"))
-    v = join_small(path_values(requests), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
-    v = materialize(join_small(v, paths, ["gateway_id", "own_topic", "path"], "left").withColumn("own_path", F.coalesce("own_path", "path")), "own-values")
+    v = _join(path_values(requests), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
+    v = materialize(_join(v, paths, ["gateway_id", "own_topic", "path"], "left").withColumn("own_path", F.coalesce("own_path", "path")), "own-values")
 
     scope = F.lit("").alias("scope")
     edges = report.where("change_kind = 'topic_renamed'").select("gateway_id", scope, F.col("topic").alias("a"), F.col("new_name").alias("b"))
     used = edges.select(F.explode(F.array("a", "b")).alias("topic")).distinct()
-    seen = join_small(v.select("gateway_id", "file_no", "topic", "own_topic", "request_id", "event_no"), used, ["topic"], "left_semi").distinct()
+    seen = _join(v.select("gateway_id", "file_no", "topic", "own_topic", "request_id", "event_no"), used, ["topic"], "left_semi").distinct()
     seen = seen.groupBy("gateway_id", "file_no", "topic", "own_topic").agg(F.count(F.lit(1)).alias("n"))
     in_file = seen.groupBy("gateway_id", "file_no").agg(F.collect_list(F.struct("topic", "n")).alias("all"))
     # two topics share as many events of a file as the rarer has there
@@ -551,20 +560,20 @@ def consistent_values(requests: DataFrame, report: DataFrame) -> DataFrame:
     sets = sets.select("gateway_id", "scope", F.transform(F.filter("all", lambda x: x["n"] >= F.col("at")), lambda x: x["topic"]).alias("names"), (F.col("at") - lower).alias("n"))
     one_topic = materialize(one_names(edges, sets, seen.select("gateway_id", scope, F.col("own_topic").alias("a")), 2), "one-topics")
     one_topic = one_topic.where("name <> one_name").select(F.col("name").alias("own_topic"), F.col("one_name").alias("last_topic"))
-    v = join_small(v, one_topic, ["own_topic"], "left").withColumn("last_topic", F.coalesce("last_topic", "own_topic"))
+    v = _join(v, one_topic, ["own_topic"], "left").withColumn("last_topic", F.coalesce("last_topic", "own_topic"))
 
-    own = join_small(report.where("change_kind = 'renamed'"), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
-    edges = join_small(own, one_topic, ["own_topic"], "left").select("gateway_id", F.coalesce("last_topic", "own_topic").alias("scope"), F.col("field_path").alias("a"), F.col("new_name").alias("b"))
+    own = _join(report.where("change_kind = 'renamed'"), topics, ["gateway_id", "topic"], "left").withColumn("own_topic", F.coalesce("own_topic", "topic"))
+    edges = _join(own, one_topic, ["own_topic"], "left").select("gateway_id", F.coalesce("last_topic", "own_topic").alias("scope"), F.col("field_path").alias("a"), F.col("new_name").alias("b"))
     used = edges.select(F.col("scope").alias("last_topic"), F.explode(F.array("a", "b")).alias("path")).distinct()
-    seen = join_small(v.select("gateway_id", "last_topic", "path", "own_path", "request_id", "event_no"), used, ["last_topic", "path"], "left_semi")
+    seen = _join(v.select("gateway_id", "last_topic", "path", "own_path", "request_id", "event_no"), used, ["last_topic", "path"], "left_semi")
     sets = seen.groupBy("gateway_id", F.col("last_topic").alias("scope"), "request_id", "event_no").agg(F.sort_array(F.collect_set("path")).alias("names"))
     sets = sets.groupBy("gateway_id", "scope", "names").agg(F.count(F.lit(1)).alias("n"))
     one_path = one_names(edges, sets, seen.select("gateway_id", F.col("last_topic").alias("scope"), F.col("own_path").alias("a")), ONE_IN)
     one_path = materialize(one_path, "one-paths").where("name <> one_name").select(F.col("scope").alias("last_topic"), F.col("name").alias("own_path"), F.col("one_name").alias("last_path"))
-    v = join_small(v, one_path, ["last_topic", "own_path"], "left").withColumn("last_path", F.coalesce("last_path", "own_path")).drop("own_topic", "own_path")
+    v = _join(v, one_path, ["last_topic", "own_path"], "left").withColumn("last_path", F.coalesce("last_path", "own_path")).drop("own_topic", "own_path")
     shown = v.groupBy("last_topic", "last_path", "kind").agg(F.count(F.lit(1)).alias("n"))
     one = shown.groupBy("last_topic", "last_path").agg(F.max_by("kind", F.struct("n", "kind")).alias("type"))
-    v = join_small(v, one, ["last_topic", "last_path"], "inner")
+    v = _join(v, one, ["last_topic", "last_path"], "inner")
     ok = (
         F.when(F.col("type") == "number", F.col("value").rlike(DECIMAL) & (F.col("kind") != "boolean"))
         .when(F.col("type") == "boolean", F.lower("value").isin("true", "false"))

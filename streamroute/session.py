@@ -59,7 +59,7 @@ def materialize(df: DataFrame, name: str, parts: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _small_enough(small: DataFrame, max_rows: int) -> bool:
+def _small_enough(small: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
     """Rows and bytes of a side, read only until max_rows are passed."""
     size = F.lit(0).cast("bigint")
     for f in small.schema.fields:
@@ -71,18 +71,18 @@ def _small_enough(small: DataFrame, max_rows: int) -> bool:
         else:
             size = size + F.lit(8)
     n = small.limit(max_rows + 1).select(size.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    return n["n"] <= max_rows and n["b"] <= BROADCAST_BYTES
+    return n["n"] <= max_rows and n["b"] <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = JOIN_SALTS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = JOIN_SALTS, max_bytes: int | None = None) -> DataFrame:
     """Join against a side that is usually small.
 
-    The small side's rows and bytes are counted (reading stops past max_rows); up to max_rows and BROADCAST_BYTES it is
-    broadcast. Beyond that both sides shuffle, hot keys of the big side being spread by their tasks over `salts` copies
+    The small side's rows and bytes are counted (reading stops past max_rows); up to max_rows and max_bytes (BROADCAST_BYTES)
+    it is broadcast. Beyond that both sides shuffle, hot keys of the big side being spread by their tasks over `salts` copies
     of the small side's rows.
     how: inner, left, left_semi or left_anti.
     """
-    if _small_enough(small, max_rows):
+    if _small_enough(small, max_rows, max_bytes):
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

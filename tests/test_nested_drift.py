@@ -4,7 +4,9 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from streamroute import session
 from streamroute.operators import drift, nested
 
 BODIES = "request_id bigint, gateway_id string, file_no int, body string, topic string, value string"
@@ -241,3 +243,19 @@ def test_values_that_differ_only_late_are_of_different_kinds(spark):
 def test_keys_that_are_data_are_no_fields(spark):
     rows = [("g", f, event("t", a=i, **{f"id{f}_{i}": 1})) for f in (1, 2) for i in range(30)]
     assert report(spark, rows) == []
+
+
+@pytest.mark.parametrize("names", [[f"k{i}" for i in range(10_001)], [f"k{i}" + "x" * 20_000 for i in range(120)]], ids=["many", "long"])
+def test_no_side_that_grows_with_the_fields_passes_through_the_driver(spark, monkeypatch, names):
+    sizes, broadcast = [], session.F.broadcast
+
+    def spy(df):
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
+        sizes.append(tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()))
+        return broadcast(df)
+
+    monkeypatch.setattr(session.F, "broadcast", spy)
+    wide = dict.fromkeys(names, True)
+    rows = [("g", 1, event("t", **s, **wide)) for s in sample(41, 3)] + [("g", 2, event("t", **{("ref" if k == "id" else k): v for k, v in s.items()}, **wide)) for s in sample(42, 3)]
+    assert report(spark, rows) == [("t", 2, "renamed", "id", "ref")]
+    assert sizes and all(n <= 20_000 and b <= 4 << 20 for n, b in sizes)
