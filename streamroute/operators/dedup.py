@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamroute.operators.bloom import Bloom
-from streamroute.session import children, join_small, materialize, written
+from streamroute.session import children, join_counted, join_small, materialize, written
 
 
 def _salts(spark: SparkSession) -> int:
@@ -135,9 +135,11 @@ def checks_before_inserts(df: DataFrame, key: Column, batch: str) -> DataFrame:
     first batch are all stored, copies within it too; rows of later batches are duplicates. Rows without key or batch
     are stored. (keep_first and mark_copies don't have that hole.)"""
     own = df.withColumn("__key", key)
-    first = own.where("__key is not null").groupBy("__key").agg(F.min(batch).alias("__first"))
+    first = own.where("__key is not null").groupBy("__key").agg(F.min(batch).alias("__first"), F.max(batch).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    # keys of one batch have no late rows; the join doesn't need them
+    first = materialize(first.where("__first < __last").drop("__last"), "repeated-keys")
     late = F.coalesce(F.col(batch) > F.col("__first"), F.lit(False))
-    return join_small(own, first, ["__key"], "left").withColumn("status", F.when(late, "duplicate").otherwise("stored")).select(*[F.col(f"`{c}`") for c in df.columns if c != "status"], "status")
+    return join_counted(own, first, ["__key"], "__n", "left").withColumn("status", F.when(late, "duplicate").otherwise("stored")).select(*[F.col(f"`{c}`") for c in df.columns if c != "status"], "status")
 
 
 class SeenStore:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Ways the larger side of a hot key is split when the other side is too large to broadcast.
 JOIN_SALTS = 32
+#: Rows of a key from which on join_counted splits it, and how many keys it splits at most (those with most rows).
+HOT_ROWS, HOT_KEYS = 100_000, 1_000
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -89,6 +91,26 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "inner", max_rows: int = 20_000, max_bytes: int = 4 << 20, hot_rows: int = HOT_ROWS, salts: int = JOIN_SALTS) -> DataFrame:
+    """Join against a side of one row a key that tells in column n how many rows of the big side have its key (n is dropped).
+
+    As join_small, but beyond max_rows and max_bytes only keys of more than hot_rows rows get `salts` copies; all others
+    have one. So the shuffle is about both sides' size, and the driver gets the names of HOT_KEYS keys at most.
+    how: inner, left, left_semi or left_anti.
+    """
+    if _small_enough(small.drop(n), max_rows, max_bytes):
+        return big.join(F.broadcast(small.drop(n)), on, how)
+    hot = F.broadcast(small.where(F.col(n) > hot_rows).orderBy(F.desc(n), *on).limit(HOT_KEYS).select(*on, F.lit(True).alias("__hot")))
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    lane = F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int")
+    salted = big.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot") | null, lane).otherwise(F.lit(0))).drop("__hot")
+    lanes = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = small.drop(n).join(hot, on, "left").withColumn("__salt", F.explode(lanes)).drop("__hot")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -65,6 +65,15 @@ def test_copies_within_a_keys_first_batch_are_all_stored(spark):
     assert {s for s, x in got.items() if x == "duplicate"} == {3, 9} and len(got) == 9
 
 
+def test_many_repeated_ids_do_not_pass_through_the_driver(spark, monkeypatch):
+    n, sizes, broadcast = 25_000, [], session.F.broadcast
+    monkeypatch.setattr(session.F, "broadcast", lambda df: sizes.append(df.count()) or broadcast(df))
+    df = spark.range(2 * n).select(F.col("id").alias("seq"), (F.col("id") % n).cast("string").alias("id"), F.floor(F.col("id") / n).alias("batch"))
+    got = dedup.checks_before_inserts(df, F.col("id"), "batch").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    assert {tuple(r) for r in got.collect()} == {("stored", n, 0), ("duplicate", n, n)}
+    assert all(size <= 20_000 for size in sizes)
+
+
 def test_ids_kept_only_after_success(spark):
     rows = [("c", i, k, ok) for i, (k, ok) in enumerate([("a", False), ("a", True), ("a", True), ("b", None), ("b", False), ("b", True), ("b", False), (None, True), (None, True)])]
     df = spark.createDataFrame(rows, "k string, seq bigint, id string, ok boolean")

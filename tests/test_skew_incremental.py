@@ -46,6 +46,21 @@ def test_join_beyond_the_broadcast_bound_is_the_same(spark):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
 
 
+def test_counted_join_copies_hot_keys_only(spark, monkeypatch):
+    key = F.when(F.col("id") < 300, 7).when(F.col("id") > 400, F.col("id") % 20).cast("int")
+    big = spark.range(500).withColumn("k", key)
+    small = big.where("k % 2 = 1").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("v"), F.max("k")).alias("v"))
+    plain, copies, broadcast, explode = small.drop("n"), [], session.F.broadcast, session.F.explode
+    monkeypatch.setattr(session.F, "broadcast", lambda df: copies.append(df) or broadcast(df))
+    monkeypatch.setattr(session.F, "explode", lambda c: copies.append(c) or explode(c))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = big.join(plain, ["k"], how), session.join_counted(big, small, ["k"], "n", how, max_rows=3, hot_rows=100, salts=4)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    hot, lanes = copies[-2:]  # the driver gets the hot key, and only it is copied
+    assert [r["k"] for r in hot.collect()] == [7]
+    assert small.join(hot, "k", "left").select(F.sum(F.size(lanes))).first()[0] == small.count() + 3
+
+
 MARKS = "mark_id bigint, run_no int, follower_id string, shard int, last_segment int, last_offset bigint, status string, confirmed_at timestamp_ntz"
 RECORDS = "shard int, segment int, wal_offset bigint, rec_len int, rec_type string, msg_id string, consumer_id string, payload string, crc_ok boolean, revision int, scan_no int, written_at timestamp_ntz"
 T0 = dt.datetime(2024, 1, 1)
