@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamroute.operators.nested import _array, events_of, kind_of, text_of
-from streamroute.session import JOIN_SALTS, join_small, materialize
+from streamroute.session import JOIN_SALTS, join_small, materialize, shuffled
 
 #: A field belongs to a topic and file if at least one in so many events carries it.
 ONE_IN = 5
@@ -352,12 +352,12 @@ def turns(events: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     span = events.groupBy("gateway_id", "topic").agg(F.min("file_no").alias("first"), F.max("file_no").alias("last"))
     files = events.select("gateway_id", "file_no").distinct()
     step = files.select("gateway_id", F.col("file_no").alias("last"), F.lead("file_no").over(Window.partitionBy("gateway_id").orderBy("file_no")).alias("turn")).where("turn is not null")
-    ends = span.join(step, ["gateway_id", "last"]).select("gateway_id", "turn", "topic", F.col("last").alias("file_no"), F.lit("a").alias("side"))
-    begins = span.join(step.select("gateway_id", "turn"), ["gateway_id"]).where("first = turn").select("gateway_id", "turn", "topic", F.col("first").alias("file_no"), F.lit("b").alias("side"))
-    fields = ends.unionByName(begins).join(types, ["gateway_id", "topic", "file_no"])
+    ends = span.join(shuffled(step), ["gateway_id", "last"]).select("gateway_id", "turn", "topic", F.col("last").alias("file_no"), F.lit("a").alias("side"))
+    begins = span.join(shuffled(step.select("gateway_id", "turn")), ["gateway_id"]).where("first = turn").select("gateway_id", "turn", "topic", F.col("first").alias("file_no"), F.lit("b").alias("side"))
+    fields = ends.unionByName(begins).join(shuffled(types), ["gateway_id", "topic", "file_no"])
     mine = Window.partitionBy("gateway_id", "turn", "side", "topic")
     rare = fields.groupBy("gateway_id", "turn", "path").agg(F.count(F.lit(1)).alias("freq"))
-    fields = fields.join(rare, ["gateway_id", "turn", "path"]).withColumns({"n_fields": F.count(F.lit(1)).over(mine), "rank": F.row_number().over(mine.orderBy("freq", "path"))})
+    fields = fields.join(shuffled(rare), ["gateway_id", "turn", "path"]).withColumns({"n_fields": F.count(F.lit(1)).over(mine), "rank": F.row_number().over(mine.orderBy("freq", "path"))})
     fields = materialize(fields, "drift-turn-fields")
 
     def side(x: str, df: DataFrame) -> DataFrame:
@@ -365,11 +365,11 @@ def turns(events: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
         return df.where(F.col("side") == x).select("gateway_id", "turn", "path", *[F.col(k).alias(v) for k, v in named.items()])
 
     prefix = fields.where(F.col("rank") <= F.col("n_fields") - F.ceil(F.col("n_fields") * SAME_FIELDS - 1e-9) + 1)
-    near = side("a", prefix).join(side("b", prefix), ["gateway_id", "turn", "path"]).select(*_TURN, "turn").distinct()
-    both = near.join(side("a", fields), ["gateway_id", "turn", "topic_a", "file_a"]).join(side("b", fields), ["gateway_id", "turn", "topic_b", "file_b", "path"])
+    near = side("a", prefix).join(shuffled(side("b", prefix)), ["gateway_id", "turn", "path"]).select(*_TURN, "turn").distinct()
+    both = near.join(shuffled(side("a", fields)), ["gateway_id", "turn", "topic_a", "file_a"]).join(shuffled(side("b", fields)), ["gateway_id", "turn", "topic_b", "file_b", "path"])
     n = both.groupBy(*_TURN, "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_both")).withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_both"))
     pairs = n.where(F.col("n_both") >= F.col("n_union") * SAME_FIELDS).select(*_TURN, "n_union")
-    return pairs, both.select(*_TURN, "path", "type_a", "type_b").join(pairs.select(*_TURN), _TURN, "left_semi")
+    return pairs, both.select(*_TURN, "path", "type_a", "type_b").join(shuffled(pairs.select(*_TURN)), _TURN, "left_semi")
 
 
 def _overlaps(forms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -497,7 +497,7 @@ def _side_by_side(sets: DataFrame, one_in: int) -> DataFrame:
     pairs = pairs.groupBy("gateway_id", "scope", "a", "b").agg(F.sum("n").alias("n"))
     single = pairs.where("a = b").select("gateway_id", "scope", "a", F.col("n").alias("n_a"))
     other = single.select("gateway_id", "scope", F.col("a").alias("b"), F.col("n_a").alias("n_b"))
-    both = pairs.where("a < b").join(single, ["gateway_id", "scope", "a"]).join(other, ["gateway_id", "scope", "b"])
+    both = pairs.where("a < b").join(shuffled(single), ["gateway_id", "scope", "a"]).join(shuffled(other), ["gateway_id", "scope", "b"])
     return both.where(F.col("n") * one_in >= F.least("n_a", "n_b")).select("scope", F.lit("apart").alias("kind"), "a", "b", F.lit(1).cast("bigint").alias("n")).distinct()
 
 

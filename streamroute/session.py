@@ -76,6 +76,11 @@ def _small_enough(small: DataFrame, max_rows: int, max_bytes: int | None = None)
     return n["n"] <= max_rows and n["b"] <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that Spark mustn't broadcast: it goes by the files' size, which says little about the rows in memory."""
+    return df.hint("merge")
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = JOIN_SALTS, max_bytes: int | None = None) -> DataFrame:
     """Join against a side that is usually small.
 
@@ -88,7 +93,7 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return salted.join(shuffled(copies), [*on, "__salt"], how).drop("__salt")
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "inner", max_rows: int = 20_000, max_bytes: int = 4 << 20, hot_rows: int = HOT_ROWS, salts: int = JOIN_SALTS) -> DataFrame:
@@ -108,7 +113,7 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], n: str, how: s
     salted = big.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot") | null, lane).otherwise(F.lit(0))).drop("__hot")
     lanes = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copies = small.drop(n).join(hot, on, "left").withColumn("__salt", F.explode(lanes)).drop("__hot")
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return salted.join(shuffled(copies), [*on, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

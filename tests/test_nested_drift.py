@@ -259,3 +259,12 @@ def test_no_side_that_grows_with_the_fields_passes_through_the_driver(spark, mon
     rows = [("g", 1, event("t", **s, **wide)) for s in sample(41, 3)] + [("g", 2, event("t", **{("ref" if k == "id" else k): v for k, v in s.items()}, **wide)) for s in sample(42, 3)]
     assert report(spark, rows) == [("t", 2, "renamed", "id", "ref")]
     assert sizes and all(n <= 20_000 and b <= 4 << 20 for n, b in sizes)
+
+
+def test_topics_that_turn_are_joined_without_broadcasts(spark):
+    rows = [("g", 1, "t", "p", 1), ("g", 1, "t", "q", 1), ("g", 2, "u", "p", 1), ("g", 2, "u", "q", 1)]
+    types = spark.createDataFrame([(*r[:1], r[2], r[1], r[3], "string") for r in rows], "gateway_id string, topic string, file_no int, path string, type string")
+    events = types.select("gateway_id", "topic", "file_no").distinct()
+    for df, n in zip(drift.turns(events, types), (1, 2)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == n

@@ -46,6 +46,19 @@ def test_join_beyond_the_broadcast_bound_is_the_same(spark):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
 
 
+def test_side_beyond_the_bound_is_never_broadcast_by_its_files_size(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 100).alias("k")).write.parquet(str(tmp_path / "big"))
+    spark.range(100).select(F.col("id").alias("k"), F.lit(10).alias("n")).write.parquet(str(tmp_path / "small"))
+    big, small = spark.read.parquet(str(tmp_path / "big")), spark.read.parquet(str(tmp_path / "small"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        for out in (session.join_small(big, small, ["k"], how, max_rows=3), session.join_counted(big, small, ["k"], "n", how, max_rows=3)):
+            # of hot keys the join may broadcast the names
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert out.count() == (0 if how == "left_anti" else 1000) and "strategy=merge" in plan
+            if "__hot" not in plan:
+                assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counted_join_copies_hot_keys_only(spark, monkeypatch):
     key = F.when(F.col("id") < 300, 7).when(F.col("id") > 400, F.col("id") % 20).cast("int")
     big = spark.range(500).withColumn("k", key)
